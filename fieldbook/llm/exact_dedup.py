@@ -13,11 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import SPACE, fresh
+from fieldbook.llm.common import SPACE, located
 from fieldbook.session import materialize, scratch_path
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -36,19 +35,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a further column, the content locator (file and row in it), and that column's name.
-
-    A frame that doesn't come straight from files is written to a scratch table first.
-    """
-    name = fresh("locator", docs.columns)
-    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
-    try:
-        return docs.select("*", locator), name
-    except AnalysisException:
-        return materialize(docs, "dedup-input").select("*", locator), name
-
-
 def _preference(doc_id: Column, n_points: Column, locator: Column) -> Column:
     """Least for the document that stays: most code points, then smallest identifier (null last), then first place."""
     return F.struct((-n_points).alias("shorter"), doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), locator.alias("locator"))
