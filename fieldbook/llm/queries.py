@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import exact_dedup, mixing
+from fieldbook.llm import exact_dedup, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
