@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from fieldbook.llm.common import SPACE, located
 from fieldbook.session import materialize, scratch_path
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated files, which would cost each small state partition several megabytes.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 #: Hit digests are broadcast up to this many rows (about 100 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 300_000
@@ -47,12 +50,13 @@ def keyed_state(spark: SparkSession, digests: str, schema, files_per_batch: int
     never expires. Spark's commit log and state snapshots are in the shared
     scratch folder, so a lost executor costs a replay of its partitions only.
     """
-    before, checkpoint = spark.conf.get(_PROVIDER), scratch_path(spark, "dedup-state")
+    before, checkpoint = {k: spark.conf.get(k, None) for k in _STATE}, scratch_path(spark, "dedup-state")
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     state = reader.parquet(digests).groupBy("digest").agg(F.min(_preference(F.col("doc_id"), F.col("n_points"), F.col("locator"))).alias("stays"), F.count(F.lit(1)).alias("group_size"))
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -60,7 +64,8 @@ def keyed_state(spark: SparkSession, digests: str, schema, files_per_batch: int
         kept, count = stored.schema["value"].dataType.names[:2]
         return stored.select(F.col("key.digest").alias("digest"), F.col("value")[kept].alias("stays"), F.col("value")[count].alias("group_size"))
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
