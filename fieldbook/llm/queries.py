@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import exact_dedup, langid, licenses, mixing, near_dedup, quality, sentencepieces, token_counts, toxicity
+from fieldbook.llm import exact_dedup, langid, licenses, media, mixing, near_dedup, quality, sentencepieces, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_licenses": licenses.op4_licenses,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_media": media.op6_media,
     "op7_sentencepieces": sentencepieces.op7_sentencepieces,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
