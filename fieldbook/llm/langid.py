@@ -120,7 +120,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS,
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
     chosen = some.distinct().withColumn("order", order).where(F.col("order") <= fit_rows)
     rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "order", "text").toArrow().to_pandas().sort_values(["lang", "order", "text"])
-    rows = rows[[bool(t and _LETTER.search(t)) for t in rows["text"]]]
+    rows = rows[np.array([bool(t and _LETTER.search(t)) for t in rows["text"]], bool)]
     return fit(rows["text"].tolist(), rows["lang"].tolist(), landmarks)
 
 
