@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions import boxes, text
-from fieldbook.operators import clean, curate, dedup, experiments, frames, lineage, match, metrics, split, stats, validate, vectors, views
+from fieldbook.operators import clean, curate, dedup, experiments, frames, inference, lineage, match, metrics, records, split, stats, validate, vectors, views
+from fieldbook.plans import snapshot
 from fieldbook.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,3 +535,43 @@ def fuzzy_best_match(spark, sf):
     target = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".mp4").otherwise(".jpg"))
     missing = part.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("row_id"), target.alias("target"), F.concat(F.lit("SITE "), (F.col("p_size") % 9).cast("string")).alias("site"), F.when(F.col("p_partkey") % 2 == 0, "CAM A").otherwise("CAM B").alias("cam"))
     return match.match_missing(missing, _listing(spark, sf), 0.95, 0.80)
+
+
+@query(f"WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rank FROM s WHERE q % 50 = 0) SELECT q AS query, rank, g AS id, round(s, 6) AS similarity FROM r WHERE rank <= 10")
+def nearest_neighbours(spark, sf):
+    rows = embedded(spark, sf)
+    found = inference.top_k(rows.where("id % 50 = 0"), rows, 10)
+    return rounded(found.withColumn("rank", F.col("rank").cast("long")), "similarity")
+
+
+@query(f"WITH {_LOGITS} SELECT count(*) AS n, round(100 * avg((list_position(z, list_max(z)) - 1 = y)::INT), 6) AS accuracy FROM x")
+def classification_accuracy(spark, sf):
+    return rounded(inference.accuracy(_logits(spark, sf), "z", "y"), "accuracy")
+
+
+@query("WITH r AS (SELECT 'f' || (event_id % 1500) AS filepath, value, event_id FROM events), l AS (SELECT filepath, arg_max(value, event_id) AS value FROM r GROUP BY 1) SELECT 'f' || c_custkey AS filepath, value AS prediction FROM customer LEFT JOIN l ON filepath = 'f' || c_custkey")
+def export_predictions(spark, sf):
+    results = table(spark, sf, "events").select(F.concat(F.lit("f"), (F.col("event_id") % 1500).cast("string")).alias("filepath"), "value", "event_id")
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("filepath"))
+    return records.export_results(rows, results, "prediction", "event_id")[0]
+
+
+@query(f"WITH {_C} SELECT path AS filepath, identity AS jaguar_id, quality IS NULL AS review_required, CASE WHEN quality IS NULL THEN 'missing' ELSE 'matched' END AS lineage_status, sha256, source AS site, doc_id / 1000.0::DOUBLE AS latitude FROM c")
+def snapshot_rows(spark, sf):
+    rows = _contents(spark, sf).withColumns({"filepath": F.col("path"), "review_required": F.col("quality").isNull(), "lineage_status": F.when(F.col("quality").isNull(), "missing").otherwise("matched"), "site": F.col("source"), "latitude": (F.col("doc_id") / 1000).cast("string")})
+    return snapshot.snapshot_rows(rows, "identity").select("filepath", "jaguar_id", "review_required", "lineage_status", "sha256", "site", "latitude")
+
+
+_VIEWS = "vw AS (SELECT doc_id, quality IS NULL AS review_required, CASE WHEN toxic = 1 THEN 'ambiguous' ELSE 'matched' END AS lineage_status, ['train', 'val', 'test'][doc_id % 3 + 1] AS c, ['train', 'val', 'test'][doc_id % 5 % 3 + 1] AS o FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {_VIEWS} SELECT 'all' AS view, count(*) AS n FROM vw UNION ALL SELECT 'lineage_unresolved', count_if(lineage_status <> 'matched') FROM vw UNION ALL SELECT 'review_required', count_if(review_required) FROM vw UNION ALL SELECT 'closed_set_' || c, count(*) FROM vw GROUP BY 1 UNION ALL SELECT 'open_set_' || o, count(*) FROM vw GROUP BY 1")
+def saved_views(spark, sf):
+    part = lambda i: F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (i + 1).cast("int"))
+    d = F.col("doc_id")
+    rows = _contents(spark, sf).select(d, F.col("quality").isNull().alias("review_required"), F.when(F.col("toxic") == 1, "ambiguous").otherwise("matched").alias("lineage_status"), part(d % 3).alias("closed_set_split"), part(d % 5 % 3).alias("open_set_split"))
+    made = None
+    for name, view in views.saved_views(rows).items():
+        one = view.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view"), "n")
+        made = one if made is None else made.unionByName(one)
+    return made

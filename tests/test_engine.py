@@ -277,6 +277,78 @@ def test_vectors(spark):
     assert vectors.population_errors(records, 2, spark.createDataFrame([(1,)], "id long")).count() == 3
 
 
+def test_masks(spark):
+    from fieldbook.functions import masks
+
+    mask = np.zeros((4, 8), np.uint8)
+    mask[1:3, 2:6] = 1
+    coded = masks.encode(mask)
+    given = [coded, json.dumps({"$binary": {"base64": coded}}), json.dumps(mask.tolist()), "", None, "[]", "[[2]]", "junk"]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "m string").coalesce(1).select(masks.shape(F.col("m"))).collect()]
+    assert [g.pixels for g in got] == [8, 8, 8, None, None, None, None, None]
+    assert got[0].box == [0.25, 0.25, 0.5, 0.5]
+    both = masks.union([(mask, [0, 0, 1, 1]), (np.ones((1, 1), np.uint8), [0.5, 0.5, 0.5, 0.5])], 4, 8)
+    assert both.sum() == 8 + 8 - 2
+    assert masks.composite(np.full((4, 8, 3), 9, np.uint8), mask).sum() == 8 * 27
+    with pytest.raises(ValueError):
+        masks.composite(mask, mask, "other")
+
+
+def test_inference_collects_errors(spark):
+    def load():
+        def model(values):
+            if any(v < 0 for v in values):
+                raise RuntimeError("negative")
+            return [[v, 1.0] for v in values]
+
+        return model
+
+    rows = spark.createDataFrame([(i, float(i) if i != 5 else -1.0) for i in range(9)] + [(9, None)], "id long, x double")
+    from fieldbook.operators import inference
+
+    got = {r.id: (r.embedding, r.error) for r in inference.infer(rows, load, "id", "x", 4).collect()}
+    assert got[3] == ([3.0, 1.0], None) and got[5] == (None, "RuntimeError: negative") and got[9] == (None, "no payload")
+
+
+def test_whole_runs(spark, tmp_path):
+    from fieldbook.plans import ingest, snapshot
+
+    folder = tmp_path / "sites/SITE 1/CAM A"
+    folder.mkdir(parents=True)
+    for name in ("test.mp4", "other.mp4"):
+        (folder / name).write_bytes(b"x")
+    (tmp_path / "labels.csv").write_text("CAMERA TRAP SITE;JAGUAR ID;CAM;Files Name\nSITE 1;F1;A;Test.MP4\nSITE 1;?;A;gone.jpg\n")
+    report = ingest.ingest(spark, str(tmp_path / "sites"), str(tmp_path / "labels.csv"), str(tmp_path / "out"), dry_run=False)
+    assert (report["rows"], report["cleaned"], report["outcomes"], report["unlabelled"]) == (2, 2, {"applied": 1, "unresolved": 1}, 1)
+    rng = np.random.default_rng(0)
+    d = [{"id": "1", "label": "x", "confidence": 1.0, "bounding_box": [0.0, 0.0, 0.5, 0.5]}]
+    rows = [(i, d, [], i // 10, rng.normal(size=4).tolist()) for i in range(60)]
+    samples = spark.createDataFrame(rows, f"sample_id long, detections {boxes.DETECTIONS}, tags array<string>, label int, vector array<double>")
+    made = ingest.process(samples, ingest.Processing(similarity=0.95))
+    assert made.count() == 60 and made.where("split IS NULL").count() == 0
+    counts = ingest.export(made, str(tmp_path / "variants"))
+    assert counts["master"] == 60 and counts["not_segmented"] == 0 and counts["segmented"] == 60
+    assert ingest.evaluate(made, "train", 9).count() == 2
+    records = spark.createDataFrame([("p", "F1", "h", "matched", False, "x")], "filepath string, resolved_identity string, sha256 string, lineage_status string, review_required boolean, latitude string")
+    rows = snapshot.snapshot_rows(records)
+    assert rows.columns == snapshot.SCHEMA.names and rows.first().latitude is None
+    assert {r.error for r in snapshot.snapshot_errors(rows).collect()} == {"size_bytes is missing", "width is missing", "height is missing", "annotations are missing"}
+    assert snapshot.metadata(rows, "jaguar_id") == {"n_samples": 1, "n_classes": 1, "splits": {}}
+
+
+def test_records(spark):
+    from fieldbook.operators import records
+
+    raw, made = spark.createDataFrame([("a",), ("b",), ("b",)], "path string"), spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    assert {(r.path, r.error) for r in records.one_to_one_errors(raw, made).collect()} == {("b", "not unique"), ("c", "not in the source")}
+    assert value(spark, records.media_path(F.col("p"), "/root/x"), p="../etc") is None
+    assert value(spark, records.media_path(F.col("p"), "/root/x"), p="a/../b") == "/root/x/b"
+    listing = spark.createDataFrame([("sites/SITE 1/CAM A/T.mp4",)], "path string")
+    rows = spark.createDataFrame([("t.MP4", "SITE 9", "CAM A"), ("t.avi", None, None), ("n.jpg", "SITE 2", "CAM B"), ("n.mp4", "SITE 2", "CAM B"), ("m.jpg", None, None)], "file string, site string, cam string")
+    got = {r.file: r.expected_path for r in records.expected_path(rows, listing, "file", "site", "cam").collect()}
+    assert got == {"t.MP4": "sites/SITE 1/CAM A/T.mp4", "t.avi": "sites/SITE 1/CAM A/T.mp4", "n.jpg": "sites/SITE 2/ID PHOTOS/n.jpg", "n.mp4": "sites/SITE 2/CAM B/n.mp4", "m.jpg": None}
+
+
 def test_without_the_training_data_subpackage(tmp_path):
     """The entry module and its queries load where the llm folder and the pipeline are gone."""
     import shutil
