@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extensions by kind of file.
-VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "mkv")
-IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
+VIDEO_EXTENSIONS = ("mp4", "mov", "avi", "mkv")
+IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
 
 #: Date formats in the order in which they are tried; month first where both readings are possible.
 DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "M/d/yy", "yyyy/MM/dd", "d MMM yyyy")
@@ -79,8 +79,13 @@ def clean_datetime(day: Column, time: Column) -> Column:
     return F.date_format(F.try_to_timestamp(F.concat_ws(" ", F.nullif(day, F.lit("")), F.trim(time)), F.lit("yyyy-MM-dd HH:mm:ss")), "yyyy-MM-dd HH:mm:ss")
 
 
-#: Forms of dates in running text, in the order in which their matches are listed.
-DATE_PATTERNS = (r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\b\d{1,2}-\d{1,2}-\d{2,4}\b", r"\b\d{1,2}\.\d{1,2}\.\d{2,4}\b", r"\b\d{4}-\d{1,2}-\d{1,2}\b")
+# Forms of dates in running text, in the order in which their matches are listed.
+DATE_PATTERNS = (
+    r"\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}",
+    r"\d{4}[/.-]\d{1,2}[/.-]\d{1,2}",
+    r"\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}",
+    r"[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4}",
+)
 
 
 def dates_in(text: Column) -> Column:
@@ -88,13 +93,33 @@ def dates_in(text: Column) -> Column:
     return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in DATE_PATTERNS])
 
 
-def labelled_field(text: Column, keys: Sequence[str], all_keys: Sequence[str]) -> Column:
-    """The value after the first ``key:``, up to the next key of ``all_keys``; white space collapsed, missing is empty.
+# The labels of a slide's fields.
+SLIDE_FIELDS = {
+    "nome": "NOME",
+    "name": "NAME",
+    "number_id": "NUMBER ID",
+    "localizacao": "LOCALIZAÇÃO",
+    "site": "SITE",
+    "ponto": "PONTO",
+    "sex": "SEX",
+    "idade": "IDADE",
+    "datas": "DATAS",
+    "obs": "OBS",
+}
 
-    Keys compare without regard to case and values may span lines.
+
+def labelled_field(text: Column, key: str, ends: Sequence[str]) -> Column:
+    """The value after the first ``key:``, up to the next of ``ends``; white space collapsed, missing is empty.
+
+    Labels compare without regard to case and values may span lines.
     """
-    own, ends = "|".join(keys), "|".join(all_keys)
-    return collapse(F.regexp_extract(text, rf"(?is)\b(?:{own})\s*:\s*(.*?)(?=\b(?:{ends})\s*:|$)", 1))
+    return collapse(F.regexp_extract(text, rf"(?isu){key}\s*:\s*(.*?)(?={'|'.join(ends)}|$)", 1))
+
+
+def slide_fields(text: Column) -> dict[str, Column]:
+    """Every labelled field of a slide's text; either word for a name ends no name."""
+    names = {SLIDE_FIELDS["nome"], SLIDE_FIELDS["name"]}
+    return {k: labelled_field(text, label, [o for o in SLIDE_FIELDS.values() if o != label and not (label in names and o in names)]) for k, label in SLIDE_FIELDS.items()}
 
 
 def normal_path(c: Column) -> Column:

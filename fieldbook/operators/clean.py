@@ -93,24 +93,50 @@ def clean_dates(rows: DataFrame, date: str = "DATE", time: str = "TIME") -> Data
     return rows.withColumn("DATETIME", t.clean_datetime(F.col(date), F.col(time)))
 
 
+# Words for sexes, in the order in which they are tried as prefixes.
+SEXES = {
+    "UNKNOWN": "U",
+    "FEMALE JUVENILE": "F",
+    "MALE JUVENILE": "M",
+    "UNKNOWN JUVENILE": "U",
+    "MALE": "M",
+    "FEMALE": "F",
+    "MACHO": "M",
+    "FEMEA": "F",
+    "M": "M",
+    "F": "F",
+    "U": "U",
+}
+
+
 def slide_rows(slides: DataFrame, order: str) -> DataFrame:
-    """Rows of a slide deck's labelled texts: identity, site, sex, date, sighting.
+    """``slides`` (text, name, order, ...) with identity, site, sex, location, notes, date and sighting from their labelled texts.
 
-    ``slides`` has number_id, name, nome, site, sex, date, dates (array of dates in the text).
+    The date falls back to the text's only date. An identity loses question
+    marks, accents and a remark in brackets.
     """
-    identity = t.first_filled(F.col("number_id"), F.col("name"), F.col("nome"))
-    plain = F.translate(F.upper(F.replace(identity, F.lit("?"), F.lit(""))), "ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "AAAAAEEEEIIIIOOOOOUUUUCN")
-    number = F.regexp_replace(F.trim("site"), "^0+", "")
-    sex = F.lower(F.trim("sex"))
-    alone = F.when(F.size("dates") == 1, F.get("dates", F.lit(0)))
-    return numbered_in_order(slides, order, "__n").select(
-        *[c for c in slides.columns if c not in ("site", "sex", "date")],
-        F.trim(F.regexp_replace(plain, r"\s*\(.*\)\s*$", "")).alias("identity"),
-        F.when(number == "", "").otherwise(F.concat(F.lit("SITE "), number)).alias("site"),
-        F.when(sex.startswith("f"), "F").when(sex.startswith("m"), "M").otherwise(F.upper(sex)).alias("sex"),
-        t.clean_date(F.coalesce(t.blank_to_null(F.col("date")), alone)).alias("date"),
-        F.concat(F.lit("PP"), F.col("__n")).alias("SIGHTING_ID"),
-    )
+    f = t.slide_fields(F.col("text"))
+    identity = F.replace(t.first_filled(f["number_id"], f["name"], f["nome"]), F.lit("?"), F.lit(""))
+    plain = F.translate(F.upper(F.trim(identity)), "ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "AAAAAEEEEIIIIOOOOOUUUUCN")
+    plain = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    number = F.regexp_replace(t.first_filled(f["site"], f["ponto"]), "^0+", "")
+    sex = F.upper(F.trim(f["sex"]))
+    dates = t.dates_in(F.col("text"))
+    own = t.clean_date(f["datas"])
+    short = F.lit(None).cast("string")
+    for word, letter in reversed(SEXES.items()):
+        short = F.when(sex.startswith(word), letter).otherwise(short)
+    return numbered_in_order(slides, order, "__n").withColumns(
+        {
+            "identity": F.trim(F.regexp_replace(plain, r"\s*\(.*\)$", "")),
+            "site": F.when(F.upper(number).startswith("SITE"), number).otherwise(F.concat(F.lit("SITE "), number)),
+            "sex": F.coalesce(short, f["sex"]),
+            "location": f["localizacao"],
+            "notes": f["obs"],
+            "date": F.when((own == "") & (F.size(dates) == 1), t.clean_date(F.get(dates, F.lit(0)))).otherwise(own),
+            "SIGHTING_ID": F.concat(F.lit("PP"), F.col("__n").cast("string")),
+        }
+    ).drop("__n")
 
 
 def clean_sheet(sheet: DataFrame, row_id: str, base: str = "") -> DataFrame:

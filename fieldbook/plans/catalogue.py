@@ -446,13 +446,12 @@ def site_cam_normalise(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", text.site(s).alias("site"), text.camera(c).alias("cam"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS name, o_orderstatus AS sex, year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) AS dates FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS name, o_orderstatus AS sex, CASE WHEN day(o_orderdate) > 9 THEN right(year(o_orderdate)::VARCHAR, 2) || '-' || month(o_orderdate) || '-' || day(o_orderdate) || ',' ELSE '' END || year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) AS dates FROM orders")
 def field_extract(spark, sf):
     o = F.col("o_orderkey")
     body = F.concat(F.lit("Sexo:  "), "o_orderstatus", F.when(o % 3 == 0, "").otherwise(F.concat(F.lit("\nNOME: "), F.regexp_replace("o_orderpriority", "-", "-"))), F.lit("\nData: "), F.date_format("o_orderdate", "yyyy-M-d"))
-    keys = ["nome", "sexo", "data"]
     rows = table(spark, sf, "orders").withColumn("body", body)
-    found = lambda k: text.labelled_field(F.col("body"), [k], keys)
+    found = lambda k: text.labelled_field(F.col("body"), k, [o for o in ("nome", "sexo", "data") if o != k])
     return rows.select("o_orderkey", found("nome").alias("name"), found("sexo").alias("sex"), F.array_join(text.dates_in(F.col("body")), ",").alias("dates"))
 
 

@@ -46,7 +46,7 @@ def export_candidates(samples: DataFrame, ordinal: int = 0) -> DataFrame:
     path = normal_path(F.col("filepath"))
     name = F.element_at(F.split(path, "/"), -1)
     return samples.select(
-        F.concat_ws("-", F.lit(f"export{ordinal}"), F.sha2(F.to_json(F.struct("*")), 256)).alias("content"),
+        F.concat_ws("-", F.lit(f"export{ordinal}"), F.monotonically_increasing_id().cast("string")).alias("candidate_id"),
         F.lit("export").alias("kind"),
         first_filled(F.col("jaguar_id"), F.col("ground_truth.label")).alias("identity"),
         F.coalesce(F.col("original_filename"), name).alias("filename"),
@@ -66,6 +66,22 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return made
 
 
+def load_candidates(spark: SparkSession, folders: list[str], manifests: list[str]) -> DataFrame:
+    """Candidates of all exports, then of all manifests."""
+    from fieldbook.sources.sheets import read_manifest
+
+    parts = [export_candidates(read_export(spark, f), i) for i, f in enumerate(folders)]
+    return union_sources(parts + [read_manifest(spark, m, i) for i, m in enumerate(manifests)])
+
+
+def find_export_root(spark: SparkSession, folder: str) -> str | None:
+    """The first folder at or below ``folder`` that holds both ``samples.json`` and ``metadata.json``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{samples,metadata}.json").load(folder).select("path")
+    held = files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("root")).agg(F.count_distinct("path").alias("n")).where("n = 2")
+    first = held.agg(F.min("root")).first()
+    return first[0]
+
+
 def load_dataset(spark: SparkSession, kind: str, path: str) -> DataFrame:
     """(path, label, split) from an image folder (``disk``) or an exported dataset (``export``)."""
     from fieldbook.sources.files import image_folder

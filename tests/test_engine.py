@@ -41,7 +41,7 @@ def test_text_functions(spark):
     assert value(spark, text.embedding_field(F.col("p")), p="hf-hub:a/b-c") == "embeddings_a_b_c"
     assert value(spark, text.drive_id(F.col("p")), p="https://x/folders/Ab_1-?q") == "Ab_1-"
     assert value(spark, text.stable_id(F.lit("v1"), F.col("p")), p="a") == hashlib.sha256(b"v1\0a").hexdigest()[:24]
-    assert value(spark, text.labelled_field(F.col("p"), ["nome"], ["nome", "data"]), p="NOME:  a\n b data: x") == "a b"
+    assert value(spark, text.labelled_field(F.col("p"), "nome", ["data"]), p="NOME:  a\n b data: x") == "a b"
 
 
 @pytest.mark.parametrize(
@@ -209,6 +209,24 @@ def test_slides(spark, tmp_path):
     assert len(r) == 1 and (r[0].name, r[0].text, r[0].crop_left, r[0].crop_top, r[0].sha1) == ("slide_002_img_01.png", "NOME: x", 0.1, 0.2, hashlib.sha1(b"bytes").hexdigest())
 
 
+def test_slide_rows(spark):
+    rows = spark.createDataFrame([(1, "NUMBER ID: Açaí? (old)\nSITE: 007 SEX: Female adult DATAS: OBS: seen 3/4/2020"), (2, "NOME: b NAME: c PONTO: 12 SEX: ? DATAS: 2021-05-06"), (3, "nothing")], "slide int, text string")
+    got = {r.slide: (r.identity, r.site, r.sex, r.date, r.SIGHTING_ID) for r in clean.slide_rows(rows, "slide").collect()}
+    assert got == {1: ("ACAI", "SITE 7", "F", "2020-03-04", "PP1"), 2: ("C", "SITE 12", "?", "2021-05-06", "PP2"), 3: (None, None, "", "", "PP3")}
+
+
+def test_manifests(spark, tmp_path):
+    (tmp_path / "pptx_split.csv").write_text("\ufeffID,Jaguar ID,File Path,Dataset Path,Lat\ns1, F1 ,a\\b.jpg,set,1.5\ns1,F1,a\\b.jpg,set,x\n")
+    (tmp_path / "exp").mkdir()
+    (tmp_path / "exp/samples.json").write_text(json.dumps({"samples": [{"_id": {"$oid": "s1"}, "filepath": "data/b.jpg", "jaguar_id": "F1"}]}))
+    (tmp_path / "exp/metadata.json").write_text("{}")
+    got = exports.load_candidates(spark, [str(tmp_path / "exp")], [str(tmp_path / "pptx_split.csv")])
+    rows = got.where("kind = 'manifest'").collect()
+    assert len({r.candidate_id for r in rows}) == 2 and got.count() == 3
+    assert {(r.identity, r.source_path, r.filename, r.source_type, r.latitude_value) for r in rows} == {("F1", "set/a/b.jpg", "b.jpg", "pptx", 1.5), ("F1", "set/a/b.jpg", "b.jpg", "pptx", None)}
+    assert exports.find_export_root(spark, str(tmp_path)).endswith("/exp")
+
+
 def test_publish_is_staged(spark, tmp_path):
     target, frame = str(tmp_path / "snap"), spark.range(5).withColumnRenamed("id", "k")
     assert publish.publish(frame, target, publish.same_rows(5, "k")) is None
