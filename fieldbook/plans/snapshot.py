@@ -10,10 +10,17 @@ from fieldbook.functions.boxes import DETECTIONS
 from fieldbook.operators import validate
 
 # Fields of the snapshot, in order.
-SCHEMA = StructType.fromDDL(
+FIELDS = (
     f"filepath string not null, tags array<string>, jaguar_id string, ground_truth struct<label:string>, bboxes_body {DETECTIONS}, segmentations_body {DETECTIONS}, review_required boolean not null, review_reason string, review_status string, lineage_status string not null, lineage_match_method string, closed_set_split string, open_set_split string, sighting_id string, site string, location string, "
     "camera_id string, camera_side string, camera_model string, latitude double, longitude double, capture_date string, capture_time string, capture_datetime string, original_filename string, source_media_path string, source_type string, sha256 string not null, size_bytes bigint, width int, height int"
 )
+
+
+def schema() -> StructType:
+    """The snapshot's schema; needs a running session."""
+    return StructType.fromDDL(FIELDS)
+
+
 REQUIRED = ["review_required", "lineage_status", "sha256", "size_bytes", "width", "height"]
 SPLITS = ["closed_set_split", "open_set_split"]
 
@@ -22,7 +29,7 @@ def snapshot_rows(records: DataFrame, identity: str = "resolved_identity") -> Da
     """Records as snapshot rows: exactly the schema's fields, cast to its types; fields that the records lack are null."""
     named = {"jaguar_id": F.col(identity), "ground_truth": F.when(F.col(identity).isNotNull(), F.struct(F.col(identity).alias("label")))}
     number = lambda f: F.col(f.name).try_cast(f.dataType) if f.name in ("latitude", "longitude") else F.col(f.name).cast(f.dataType)
-    columns = [(named[f.name].cast(f.dataType) if f.name in named else number(f) if f.name in records.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMA.fields]
+    columns = [(named[f.name].cast(f.dataType) if f.name in named else number(f) if f.name in records.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema().fields]
     return records.select(*columns)
 
 

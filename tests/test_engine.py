@@ -349,7 +349,7 @@ def test_whole_runs(spark, tmp_path):
     assert ingest.evaluate(made, "train", 9).count() == 2
     records = spark.createDataFrame([("p", "F1", "h", "matched", False, "x")], "filepath string, resolved_identity string, sha256 string, lineage_status string, review_required boolean, latitude string")
     rows = snapshot.snapshot_rows(records)
-    assert rows.columns == snapshot.SCHEMA.names and rows.first().latitude is None
+    assert rows.columns == snapshot.schema().names and rows.first().latitude is None
     assert {r.error for r in snapshot.snapshot_errors(rows).collect()} == {"size_bytes is missing", "width is missing", "height is missing", "annotations are missing"}
     assert snapshot.metadata(rows, "jaguar_id") == {"n_samples": 1, "n_classes": 1, "splits": {}}
 
