@@ -8,8 +8,8 @@ links only if its full sets do.
 
 Components do not need every pair of a group. A key's members are first held
 against one leader; then only keys whose members are in different components go
-on: against another leader, and finally member by member across components, in
-blocks of bounded size. A true link that shares a key therefore always ends in
+on: small ones pair by pair, large ones against another leader and finally member
+by member across components, in blocks of bounded size. A true link that shares a key therefore always ends in
 one component, while a group of copies costs rows in proportion to its size.
 Equal sets are one node throughout.
 """
@@ -32,6 +32,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 #: Pairs whose estimate is this many standard deviations below the threshold are not held against each other.
 DEVIATIONS = 6.0
+#: Keys of at most this many members are compared as pairs of rows; larger ones in blocks.
+SMALL = 16
 #: Members of a key compared with each other in one task, at most, on either side.
 BLOCK = 256
 #: Locators of documents whose sets are needed are broadcast up to this many rows.
@@ -193,12 +195,18 @@ class _Graph:
         self.links = links if self.links is None else self.links.unionByName(links)
 
     def roots(self, members: DataFrame) -> DataFrame:
-        """(key, node, root) of the keys whose members are in more than one component."""
+        """``members`` (key, node, n) with their component, of the keys whose members are in more than one."""
         found = materialize(components(self.links), "roots").withColumnRenamed("node", "of")
-        placed = members.join(found, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        placed = members.join(found, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         return materialize(placed.join(split, "key"), "split-keys")
 
+    def all_pairs(self, members: DataFrame) -> None:
+        """Hold all members of each key, at most ``SMALL``, against those in other components."""
+        other = members.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("root").alias("r"))
+        pairs = members.withColumnRenamed("node", "a").join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("r")))
+        self.confirm(pairs.select("a", "b").distinct())
+
     def against_leaders(self, members: DataFrame, turn: int) -> None:
         """Hold each member of a key against the key's leader, unless they are in one component."""
         order = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node", "root")
@@ -216,6 +224,7 @@ class _Graph:
         sizes = members.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", F.col("root").alias("main"))).alias("most"), F.sum("count").alias("all"))
         sizes = sizes.select("key", "most.main", F.ceil((F.col("all") - F.col("most.count")) / BLOCK).alias("outer"), F.ceil(F.col("all") / BLOCK).alias("inner"))
         planes = self.nodes.select(F.col("node").alias("of"), "planes", "n")
+        members = members.drop("n")
         rows = members.join(sizes, "key").join(planes, F.col("node") == F.col("of")).drop("of")
         active = materialize(_in_blocks(rows, self.size, self.similarity, sketches=True), "active").join(members, ["key", "node"])
         self.fetch(active.select("node").distinct())
@@ -304,15 +313,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     graph = _Graph(with_rows, text_col, locator, words, similarity)
     signed = graph.signed(with_rows, id_col, locator, text_col)
     keys = graph.nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(keys.join(shared, "key").withColumn("root", F.col("node")), "members")
-    graph.against_leaders(members, 0)
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(keys.join(shared, "key"), "members")
+    graph.against_leaders(members.withColumn("root", F.col("node")), 0)
     if graph.links is None:
         graph.add(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    members = members.drop("root")
-    for turn in (1, 2):
-        graph.against_leaders(graph.roots(members), turn)
-    graph.across(graph.roots(members))
+    left = graph.roots(members.where("n > 2"))  # of two members the one pair is done
+    graph.all_pairs(left.where(F.col("n") <= SMALL))
+    large = left.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        graph.against_leaders(large, 1)
+        graph.across(graph.roots(large.drop("root")))
     roots = components(graph.links).withColumnRenamed("node", "of")
     placed = signed.select("doc_id", "locator", "n", "node").join(roots, F.col("node") == F.col("of"), "left").select("doc_id", "locator", "n", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")
