@@ -176,3 +176,28 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat("base.label", "notices.label")).alias("labels"),
         F.col("evidence").alias("score"),
     )
+
+
+def _op4_sql() -> str:
+    """The same by brute force over every alignment of every template; for small tables."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = [f"('{label}', {quoted(phrase.split())}, NULL, 1.0)" for phrase, label in BASE.items()]
+    rows += [f"('{n.label}', {quoted(n.wording.split())}, {quoted(n.keys)}, {n.least})" for n in NOTICES]
+    return rf"""
+WITH t(label, ws, keys, least) AS (VALUES {", ".join(rows)}),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+v AS (SELECT DISTINCT unnest(ws) AS word FROM t),
+f AS MATERIALIZED (SELECT word, ln(((SELECT count(*) FROM d) + 1) / ((SELECT count(*) FROM d WHERE list_contains(w, word)) + 0.5)) AS idf FROM v),
+k AS (SELECT label, arg_max(word, (idf, word)) AS rare FROM (SELECT label, unnest(CASE WHEN keys IS NULL THEN ws ELSE string_split(array_to_string(keys, ' '), ' ') END) AS word FROM t) JOIN f USING (word) GROUP BY label),
+tt AS MATERIALIZED (SELECT t.*, rare FROM t JOIN k USING (label)),
+a AS (SELECT DISTINCT doc_id, label, ws, keys, least, p - q AS first, list_transform(range(1, len(ws) + 1), lambda j: coalesce(CASE WHEN p - q + j >= 1 THEN w[p - q + j] END, '')) AS seen FROM (SELECT d.doc_id, d.w, tt.*, unnest(range(1, len(d.w) + 1)) AS p FROM d JOIN tt ON list_contains(d.w, rare)) x, (SELECT unnest(range(1, 40)) AS q) y WHERE w[p] = rare AND q <= len(ws) AND ws[q] = rare),
+m AS (SELECT doc_id, label, keys, first, least, ' ' || array_to_string(seen, ' ') || ' ' AS window_text, (SELECT sum(CASE WHEN seen[j] = ws[j] THEN idf ELSE 0 END) / sum(idf) FROM (SELECT unnest(range(1, len(ws) + 1)) AS j) JOIN f ON word = ws[j]) AS agree, seen = ws AS whole FROM a),
+b AS (SELECT doc_id, label, first FROM m WHERE keys IS NULL AND whole),
+o AS (SELECT doc_id, label, agree FROM m WHERE keys IS NOT NULL AND agree >= least AND len(list_filter(keys, lambda x: NOT contains(window_text, ' ' || x || ' '))) = 0),
+bb AS (SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(s) AS score FROM (SELECT doc_id, label, 1.0::DOUBLE AS s FROM b UNION ALL SELECT doc_id, label, least(agree, 1.0)::DOUBLE FROM o) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN al USING (doc_id)
+"""
+
+
+OP4_SQL = _op4_sql()

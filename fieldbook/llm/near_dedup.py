@@ -310,6 +310,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     with_rows, locator = located(docs)
+    return _near_duplicates(with_rows, locator, id_col, text_col, words, similarity)
+
+
+def _near_duplicates(with_rows: DataFrame, locator: str, id_col: str, text_col: str, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """:func:`near_duplicates` over rows that have their locators."""
     graph = _Graph(with_rows, text_col, locator, words, similarity)
     signed = graph.signed(with_rows, id_col, locator, text_col)
     keys = graph.nodes.select(F.explode("keys").alias("key"), "node")
@@ -337,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """``docs`` with one row of each component of near duplicates, columns unchanged."""
     with_rows, locator = located(docs)
-    dropped = materialize(near_duplicates(docs, id_col, text_col, words, similarity).where("NOT first").select(F.col("locator").alias(locator)), "near-dropped")
+    dropped = materialize(_near_duplicates(with_rows, locator, id_col, text_col, words, similarity).where("NOT first").select(F.col("locator").alias(locator)), "near-dropped")
     if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     return with_rows.join(dropped, locator, "left_anti").select(*docs.columns)
@@ -347,3 +352,16 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document: 3 words, similarity 0.85."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, similarity=(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same by brute force; for small tables.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+r(id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT doc_id, len(sh) AS n_shingles, root AS component_id, doc_id = root AS kept FROM s JOIN c ON c.id = doc_id
+"""

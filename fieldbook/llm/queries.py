@@ -22,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": licenses.OP4_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
