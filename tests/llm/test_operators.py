@@ -358,3 +358,33 @@ def test_pipeline_stages_take_effect(spark):
             want = brute_components([(r.doc_id, r.text) for r in before.collect()], 5, 80, 100)
             assert sorted(r.doc_id for r in docs.collect()) == sorted({c for _, c in want.values()})
     assert docs.where("size(ids) <> n_tokens").count() == 0 and docs.count() > 0
+
+
+def moved(picture, degrees, scale=1.0):
+    """A picture turned about its middle and resized, bilinear."""
+    h, w = picture.shape
+    yy, xx = np.mgrid[: int(h * scale), : int(w * scale)].astype(float)
+    z = np.exp(-1j * np.deg2rad(degrees)) * ((xx - (int(w * scale) - 1) / 2) + 1j * (yy - (int(h * scale) - 1) / 2)) / scale + complex((w - 1) / 2, (h - 1) / 2)
+    y, x = np.clip(z.imag, 0, h - 1.001), np.clip(z.real, 0, w - 1.001)
+    fy, fx, y, x, p = y % 1, x % 1, y.astype(int), x.astype(int), picture.astype(float)
+    return p[y, x] * (1 - fy) * (1 - fx) + p[y + 1, x] * fy * (1 - fx) + p[y, x + 1] * (1 - fy) * fx + p[y + 1, x + 1] * fy * fx
+
+
+def test_media_noise_size_and_angle(spark):
+    """Copies with noise, of another size, turned by an odd angle, or cut from the quiet corner of a large picture."""
+    rng = np.random.default_rng(3)
+    pictures = media.paint(rng.normal(size=(40, 64)))
+    large = media.paint(rng.normal(size=(1, 1024)), 320)[0]
+    large = np.where(np.add.outer(np.arange(320), np.arange(320)) < 360, large, 100 + large * 0.2)
+    whole = lambda p: media.pgm(np.rint(np.clip(p, 0, 255)).astype(np.uint8))
+    stored = [(i, media.pgm(p)) for i, p in enumerate(pictures)] + [(100, whole(large)), (101, media.pgm(np.full((64, 64), 9, np.uint8)))]
+    kinds = [lambda p: media.edit(p, 0) + rng.normal(0, 6, (52, 54)), lambda p: moved(p, 0, 0.8), lambda p: moved(p, 17)[6:58, 6:58], lambda p: moved(p, 0, 1.5)]
+    asked = [(1000 * k + i, whole(kind(pictures[i]))) for k, kind in enumerate(kinds) for i in range(10)]
+    asked += [(9000, whole(large[220:, 220:])), (9001, whole(moved(large, 0, 0.5))), (9002, whole(moved(large, 33)[60:260, 60:260])), (9003, stored[-1][1])]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, media binary")
+    got = {(r.query, r.match) for r in media.find_copies(frame(asked), frame(stored)).collect()}
+    want = {(1000 * k + i, i) for k in range(4) for i in range(10)}
+    assert {(9000, 100), (9001, 100), (9002, 100), (9003, 101)} <= got
+    found = [len({g for g in got & want if g[0] // 1000 == k}) for k in range(4)]
+    assert min(found) >= 7, found
+    assert not got - want - {(9000, 100), (9001, 100), (9002, 100), (9003, 101)}
