@@ -161,6 +161,24 @@ def test_fuzzy_matching(spark):
     assert got[4].outcome == "unresolved" and got[4].path is None
 
 
+def test_fuzzy_matching_of_all_files(spark):
+    """Against brute force over all names: other sites, null sites, and names that begin differently."""
+    import random
+
+    draw = random.Random(5)
+    names = sorted({"".join(draw.choice("abIMG_01") for _ in range(draw.randint(6, 12))) + draw.choice([".jpg", ".mp4"]) for _ in range(120)})
+    paths = [f"SITE {i % 4}/CAM {'AB'[i % 2]}/{n}" for i, n in enumerate(names)] + ["SITE 1/CAM A/IMG_7777.jpg"]
+    targets = ["MG_7777.jpg"] + ["".join(c for c in n if draw.random() > 0.1) for n in names[::4]]
+    rows = [(i, w, draw.choice([None, "SITE 1", "SITE 9"]), None) for i, w in enumerate(targets)]
+    missing = spark.createDataFrame(rows, "row_id long, target string, site string, cam string")
+    got = {r.row_id: r for r in match.match_missing(missing, spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got[0].path == "SITE 1/CAM A/IMG_7777.jpg" and got[0].outcome == "applied"
+    for i, w, _, _ in rows:
+        if got[i].method in ("fuzzy", None):
+            best = max(SequenceMatcher(None, w.lower(), p.split("/")[-1].lower()).ratio() for p in paths)
+            assert got[i].score == (pytest.approx(best) if best >= 0.8 else 0.0)
+
+
 def test_sheet_cleaning(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("CAMERA TRAP SITE;JAGUAR ID;CAM;Files Name;DATE;TIME;NOTES/ ERRORS\nsite 1;F1;a;x.mp4 and y.jpg;1/31/2020;10:00:00;n\nsite 1;?;b;z.jpg;;;\n;;;;;;\nsite 1;F1;a;x.mp4;;;\n")
     sheet = sheets.read_sheet(spark, str(tmp_path / "labels.csv"))
