@@ -179,6 +179,14 @@ def test_fuzzy_matching_of_all_files(spark):
             assert got[i].score == (pytest.approx(best) if best >= 0.8 else 0.0)
 
 
+def test_exact_names_in_several_sites(spark):
+    """The row's own site and camera win over the first path, for names and for stems."""
+    listing = spark.createDataFrame([(f"SITE {s}/CAM {c}/IMG_0001.jpg",) for s in (1, 2, 3) for c in "AB"] + [("IMG_0001.jpg",)], "path string")
+    missing = spark.createDataFrame([(1, "IMG_0001.jpg", "SITE 2", "CAM B"), (2, "img_0001.png", "SITE 3", "CAM A"), (3, "IMG_0001.jpg", None, None)], "row_id long, target string, site string, cam string")
+    got = {r.row_id: r.path for r in match.match_missing(missing, listing).collect()}
+    assert got == {1: "SITE 2/CAM B/IMG_0001.jpg", 2: "SITE 3/CAM A/IMG_0001.jpg", 3: "IMG_0001.jpg"}
+
+
 def test_sheet_cleaning(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("CAMERA TRAP SITE;JAGUAR ID;CAM;Files Name;DATE;TIME;NOTES/ ERRORS\nsite 1;F1;a;x.mp4 and y.jpg;1/31/2020;10:00:00;n\nsite 1;?;b;z.jpg;;;\n;;;;;;\nsite 1;F1;a;x.mp4;;;\n")
     sheet = sheets.read_sheet(spark, str(tmp_path / "labels.csv"))
