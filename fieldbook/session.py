@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,8 @@ def shared_root(spark: SparkSession) -> str:
     """Folder for checkpoints and scratch tables that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made and registered.
+    and everything runs in one process (tests) a temporary folder is made and
+    registered; a cluster without the setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-fieldbook-"))
         known = context.getCheckpointDir()
     return known.rstrip("/")
