@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,17 +27,41 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Operators of a plan that reads each row of its files once at most, and the same rows whenever it runs.
+_PLAIN = {"FileScan", "ColumnarToRow", "Project", "Filter"}
+
+
+def _plain_scan(rows: DataFrame) -> bool:
+    """Whether ``rows`` are filtered and projected files, by their physical plan; what cannot be told counts as no."""
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        rows.explain()
+    nodes = re.findall(r"^[\s:|+-]*(?:\*\(\d+\) )?(\w+)", shown.getvalue().split("==\n", 1)[-1].strip(), re.M)
+    return set(nodes) <= _PLAIN and nodes.count("FileScan") == 1
+
+
+def _each_once(rows: DataFrame, locator: str) -> bool:
+    """Whether no locator occurs twice (a path may have been given twice): bitmaps of row numbers, four kilobytes for 32,768 rows."""
+    row = F.col(f"{locator}.row")
+    parts = rows.groupBy(F.col(f"{locator}.file").alias("file"), F.bitmap_bucket_number(row).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias("bits"), F.count(F.lit(1)).alias("n"))
+    return parts.where(F.bitmap_count("bits") != F.col("n")).isEmpty()
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a further column, the content locator (file and row in it), and that column's name.
 
-    A frame that doesn't come straight from files is written to a scratch table first.
+    No two rows share a locator, and reading again gives the same ones. That
+    holds for filtered and projected files; any other frame (exploded, joined,
+    sorted, made in memory) is written to a scratch table first.
     """
     name = fresh("locator", docs.columns)
     locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
     try:
-        return docs.select("*", locator), name
+        rows = docs.select("*", locator)
+        if _plain_scan(rows) and _each_once(rows, name):
+            return rows, name
     except AnalysisException:
-        return materialize(docs, "dedup-input").select("*", locator), name
+        pass
+    return materialize(docs, "dedup-input").select("*", locator), name
 
 
 def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,3 +119,23 @@ def per_text(make: Callable[[], Callable[[list], list]], column: str, names: lis
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *arrays], names=[*kept, *names])
 
     return run
+
+
+#: Members of a key that one task holds against the key's leader, about; rows of a table that may be broadcast.
+HOT, BROADCAST_ROWS = 1_024, 200_000
+
+
+def with_leaders(members: DataFrame, key: str, node: str, order: Column) -> DataFrame:
+    """``members`` with ``leader``: the least ``order`` of their key.
+
+    Members of keys with more than ``HOT`` are salted, and the leader is sent to
+    each salt once, so that no task gets all members of one key.
+    """
+    leaders = materialize(members.groupBy(key).agg(F.min(order).alias("leader"), F.count(F.lit(1)).alias("__n")).where("__n > 1"), "leaders")
+    hot = leaders.where(F.col("__n") > HOT).select(key, F.ceil(F.col("__n") / HOT).cast("int").alias("__salts"))
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return members.join(leaders.drop("__n"), key)
+    salted = members.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(node), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    sent = leaders.select(key, "leader", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / HOT).cast("int") - 1)).alias("__salt"))
+    return salted.join(sent, [key, "__salt"]).drop("__salt")

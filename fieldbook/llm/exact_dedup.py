@@ -75,7 +75,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty, so null, empty and blank texts form one group. Of a group the row
     with the most code points stays, then the smallest identifier (null last),
     then, for rows repeated whole, the first place. An empty table gives an
-    empty result. Other columns are not looked at.
+    empty result. Texts of any length are compared whole. Other columns are not
+    looked at.
     """
     with_rows, locator = located(docs)
     return _dedup(with_rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(locator).alias("locator")), digest, files_per_batch)
@@ -109,7 +110,11 @@ def _dedup(rows: DataFrame, digest: Callable[[Column], Column] = sha256, files_p
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops, columns unchanged."""
+    """``docs`` without the rows that :func:`exact_dedup` drops, columns unchanged.
+
+    Of null, empty and blank texts one row stays; ties are settled as there. An
+    empty table stays empty; columns of any name are kept.
+    """
     with_rows, locator = located(docs)
     rows = with_rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(locator).alias("locator"))
     dropped = materialize(_dedup(rows).where("NOT kept").select(F.col("locator").alias(locator)), "dedup-dropped")

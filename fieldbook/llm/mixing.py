@@ -20,13 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import SPACE, fresh, located
+from fieldbook.llm.common import BROADCAST_ROWS, SPACE, fresh, located
 from fieldbook.session import materialize
 
 #: Weights of the sources in code-point order, repeating; share of all sizes to take; most copies of a source.
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2.0
 #: Documents or residuals in one block of the reduction tree.
 BLOCK = 64
+#: A block with so many times as many is dealt again by row.
+OVERFULL = 4
 
 
 def word_count(text: Column) -> Column:
@@ -89,11 +91,23 @@ def _pair(state: Column, doc: Column, seed: int, level: int) -> Column:
 
 
 def _reduce(fractional: DataFrame, seed: int, level: int, block: int) -> DataFrame:
-    """Blocks of (source, key, locator, size, p): for each the decided documents and the residual. Large documents pair first, so residuals are small."""
+    """Blocks of (source, key, locator, size, p): for each the decided documents and the residual. Large documents pair first, so residuals are small.
+
+    Blocks are dealt by key. One with ``OVERFULL`` times its share, as repeated
+    keys make it, is dealt again by the places of its rows.
+    """
     blocks = fractional.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).withColumnRenamed("source", "of")
     salt = F.when(F.col("key").isNull(), F.col("locator.row"))
-    dealt = fractional.join(blocks, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("key", salt, F.lit(seed), F.lit(level)), F.col("blocks")))
-    rows = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("size", "key", "p", "locator")), asc=False).alias("docs"))
+    dealt = fractional.join(blocks, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("key", salt, F.lit(seed), F.lit(level)), F.col("blocks"))).drop("of")
+    over = materialize(dealt.groupBy(F.col("source").alias("of"), F.col("block").alias("full")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL * block), "mix-overfull")
+    n_over = over.limit(BROADCAST_ROWS + 1).count()
+    if n_over:
+        dealt = dealt.join(F.broadcast(over) if n_over <= BROADCAST_ROWS else over, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("full")), "left")
+        again = F.pmod(F.xxhash64("locator", F.lit(seed), F.lit(level)), F.ceil(F.col("n") / block))
+        dealt = dealt.withColumn("part", F.coalesce(again, F.lit(0)))
+    else:
+        dealt = dealt.withColumn("part", F.lit(0))
+    rows = dealt.groupBy("source", "block", "part").agg(F.sort_array(F.collect_list(F.struct("size", "key", "p", "locator")), asc=False).alias("docs"))
     docs = rows.schema["docs"].dataType
     start = F.struct(F.lit(None).cast(docs.elementType).alias("held"), F.array().cast(docs).alias("out"))
     return rows.select("source", F.aggregate("docs", start, lambda state, x: _pair(state, x, seed, level)).alias("done")).select("source", "done.*")
@@ -136,13 +150,19 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     source_size) copies; a null source is a source, the last one. Rows of one
     identifier, and rows repeated whole, are documents of their own. A source
     of size 0 gets target 0 and no copies. An empty table gives an empty result.
+    Reruns over the same files agree; texts may be of any length, only their
+    number of words counts. Other columns are not looked at.
     """
     with_rows, locator = located(docs)
     return _copies(_sized(with_rows, locator, id_col, text_col, source_col), weights, share, most_copies, seed, block)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_copies: float = MOST_COPIES, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as :func:`copies` says, columns unchanged."""
+    """``docs`` as the mix takes them: each row as often as :func:`copies` says, columns unchanged.
+
+    Null and blank texts, null sources, repeated rows and empty tables are as in
+    :func:`copies`; columns of any name are kept.
+    """
     with_rows, locator = located(docs)
     taken = _copies(_sized(with_rows, locator, id_col, text_col, source_col), weights, share, most_copies, seed, block)
     times = fresh("copies", with_rows.columns)
