@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from fieldbook.llm.common import documents_of, per_text, slices
+from fieldbook.llm.common import documents_of, fresh, per_text, slices
 
 # Base phrases and their labels.
 BASE = {
@@ -150,16 +150,20 @@ _SPAN_TYPE = ArrayType(StructType([StructField("label", StringType()), StructFie
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", base: dict[str, str] | None = None, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
-    """``docs`` with n_words, base (places of base phrases), notices (places of notices), evidence (0 to 1).
+    """``docs`` with n_words, base (places of base phrases), notices (places of notices), evidence (0 to 1) as last columns.
 
+    Their names are lengthened by ``_`` where the input has such columns. Repeated
+    rows are alike; texts are scanned whole, whatever their length.
     A place is (label, start), words counted from 0. Evidence is the best share
     of a template's inverse document frequency that stands in place, 1 for a base
     phrase. Null counts as empty; of an empty table the result is empty.
     """
     base = BASE if base is None else base
     n_docs, held = document_frequencies(docs, vocabulary(base, notices), text_col)
-    schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("base", _SPAN_TYPE), StructField("notices", _SPAN_TYPE), StructField("evidence", DoubleType())])
-    return docs.mapInArrow(per_text(lambda: scanner(base, notices, n_docs, held), text_col, ["n_words", "base", "notices", "evidence"], [pa.int64(), _SPANS, _SPANS, pa.float64()]), schema)
+    names = [fresh(n, docs.columns) for n in ("n_words", "base", "notices", "evidence")]
+    kinds = (LongType(), _SPAN_TYPE, _SPAN_TYPE, DoubleType())
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=True))])
+    return docs.mapInArrow(per_text(lambda: scanner(base, notices, n_docs, held), text_col, names, [pa.int64(), _SPANS, _SPANS, pa.float64()]), schema)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,11 +125,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: in
 
 
 def score(docs: DataFrame, model: Discriminant, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text as a further double column ``into``.
+    """``docs`` with the score of each whole text as a last double column ``into``.
 
-    A score depends on the text alone. Null and empty texts, and repeated rows,
-    are scored like any other; an empty table stays empty.
+    The name is lengthened by ``_`` where the input has such a column. A score
+    depends on the text alone. Null and empty texts, and repeated rows, are
+    scored like any other; an empty table stays empty.
     """
+    into = fresh(into, docs.columns)
     schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     return docs.mapInArrow(per_text(lambda: lambda texts: [model.score(statistics(texts))], text_col, [into], [pa.float64()]), schema)
 
@@ -140,7 +142,12 @@ def quality_labels(labels: DataFrame, name: str = "quality") -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` whose score reaches ``least``, columns unchanged; the model is fitted on ``labelled`` (doc_id, text)."""
+    """``docs`` whose score reaches ``least``, columns unchanged; the model is fitted on ``labelled`` (doc_id, text).
+
+    Null and empty texts are scored like any other, repeated rows stay or go
+    together, a score equal to ``least`` stays, an empty table stays empty, and
+    without labels every row stays; columns of any name are kept.
+    """
     into = fresh("score", docs.columns)
     return score(docs, train(labelled, labels), text_col, into).where(F.col(into) >= least).select(*docs.columns)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from fieldbook.llm.common import documents_of, per_text
+from fieldbook.llm.common import documents_of, fresh, per_text
 
 MARK = "▁"
 #: Distinct units, and pairs of pieces, that a task remembers at most.
@@ -189,9 +189,9 @@ def load(spark: SparkSession, model_file: str):
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text as a further column ``into`` (array of int).
+    """``docs`` with the ids of each whole text as a last column ``into`` (array of int).
 
-    No begin or end pieces. Null and empty texts encode to empty arrays;
+    The name is lengthened by ``_`` where the input has such a column. No begin or end pieces. Null and empty texts encode to empty arrays;
     repeated rows encode alike; an empty table stays empty.
     """
     shared = load(docs.sparkSession, model_file)
@@ -200,12 +200,18 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", into: str =
         encoder = Encoder(shared.value)
         return lambda texts: [encoder.encode(texts)]
 
+    into = fresh(into, docs.columns)
     schema = StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))])
     return docs.mapInArrow(per_text(make, text_col, [into], [pa.list_(pa.int32())]), schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of each row's ids as a further column ``into``; null ids decode to the empty text."""
+    """``encoded`` with the text of each row's ids as a last column ``into``; null ids decode to the empty text.
+
+    The name is lengthened by ``_`` where the input has such a column. Repeated
+    rows decode alike; an empty table stays empty.
+    """
+    into = fresh(into, encoded.columns)
     shared = load(encoded.sparkSession, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from fieldbook.llm.common import documents_of, per_text
+from fieldbook.llm.common import documents_of, fresh, per_text
 
 #: Token counts above this are flagged.
 LIMIT = 2048
@@ -100,13 +100,16 @@ def counter(definition: str, whole: frozenset[str], special: tuple[str, ...]) ->
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, text_col: str = "text", into: str = "n_tokens") -> DataFrame:
-    """``docs`` with the number of tokens of each whole text as a further long column ``into``.
+    """``docs`` with the number of tokens of each whole text as a last long column ``into``.
+
+    The name is lengthened by ``_`` where the input has such a column.
 
     No begin, end or padding tokens, no truncation; special strings inside a
     text count as the one token that the library makes of them. Null counts as
     empty: 0 tokens. Repeated rows count alike; an empty table stays empty.
     ``tokenizer_file`` is read by the driver.
     """
+    into = fresh(into, docs.columns)
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.no_truncation()
     tokenizer.no_padding()
