@@ -121,21 +121,32 @@ def per_text(make: Callable[[], Callable[[list], list]], column: str, names: lis
     return run
 
 
-#: Members of a key that one task holds against the key's leader, about; rows of a table that may be broadcast.
+#: Rows of a key that one task gets, about, in :func:`salted_join`; rows of a table that may be broadcast.
 HOT, BROADCAST_ROWS = 1_024, 200_000
 
 
-def with_leaders(members: DataFrame, key: str, node: str, order: Column) -> DataFrame:
-    """``members`` with ``leader``: the least ``order`` of their key.
+def bounded_broadcast(rows: DataFrame) -> DataFrame:
+    """``rows`` (cheap to count) with a hint to broadcast them if they are at most ``BROADCAST_ROWS``."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def salted_join(rows: DataFrame, key: str, node: str, values: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns that ``values`` has for their ``key``, one row a key; ``counts``: (key, n), the rows of each key.
 
-    Members of keys with more than ``HOT`` are salted, and the leader is sent to
-    each salt once, so that no task gets all members of one key.
+    Rows of keys with more than ``HOT`` are dealt by ``node`` over salts, and
+    their values are sent to each salt once, so no task gets all rows of a key.
     """
-    leaders = materialize(members.groupBy(key).agg(F.min(order).alias("leader"), F.count(F.lit(1)).alias("__n")).where("__n > 1"), "leaders")
-    hot = leaders.where(F.col("__n") > HOT).select(key, F.ceil(F.col("__n") / HOT).cast("int").alias("__salts"))
-    n = hot.limit(BROADCAST_ROWS + 1).count()
-    if not n:
-        return members.join(leaders.drop("__n"), key)
-    salted = members.join(F.broadcast(hot) if n <= BROADCAST_ROWS else hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(node), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
-    sent = leaders.select(key, "leader", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / HOT).cast("int") - 1)).alias("__salt"))
-    return salted.join(sent, [key, "__salt"]).drop("__salt")
+    hot = materialize(counts.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__salts")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(values, key, how)
+    hot = bounded_broadcast(hot)
+    salts = F.coalesce("__salts", F.lit(1))
+    salted = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(node), salts).cast("int")).drop("__salts")
+    sent = values.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return salted.join(sent, [key, "__salt"], how).drop("__salt")
+
+
+def with_leaders(members: DataFrame, key: str, node: str, order: Column) -> DataFrame:
+    """``members`` with ``leader``, the least ``order`` of their key, of keys with more than one member."""
+    leaders = materialize(members.groupBy(key).agg(F.min(order).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
+    return salted_join(members, key, node, leaders.drop("n"), leaders)

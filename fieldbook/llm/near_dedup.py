@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fieldbook.llm.common import located, per_text
+from fieldbook.llm.common import BROADCAST_ROWS, bounded_broadcast, located, per_text, salted_join, with_leaders
 from fieldbook.session import materialize
 
 #: Bands, minima in a band, low bits kept of each minimum.
@@ -34,10 +34,8 @@ MINIMA = BANDS * ROWS
 DEVIATIONS = 6.0
 #: Keys of at most this many members are compared as pairs of rows; larger ones in blocks.
 SMALL = 16
-#: Members of a key compared with each other in one task, at most, on either side.
-BLOCK = 256
-#: Locators of documents whose sets are needed are broadcast up to this many rows.
-BROADCAST_ROWS = 200_000
+#: Members of a key, and shingles that they have together, compared in one task on either side, about.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -177,18 +175,24 @@ class _Graph:
         return shared * whole >= (a + b - shared) * part
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Add the pairs (a, b) whose sketches and then whose full sets agree to the links."""
+        """Add the pairs (hub, node) whose sketches and then whose full sets agree to the links.
+
+        A hub may have any number of nodes: what is sent of it goes to each salt
+        once, and after the nodes' sets, so that it is never shuffled with them.
+        """
+        pairs = materialize(pairs, "pairs")
+        degree = lambda rows: rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
         planes = self.nodes.select("node", "planes", "n")
-        near = pairs.join(planes.toDF("a", "planes_a", "n_a"), "a").join(planes.toDF("b", "planes_b", "n_b"), "b")
+        near = salted_join(pairs.join(planes.toDF("node", "planes_b", "n_b"), "node"), "hub", "node", planes.toDF("hub", "planes_a", "n_a"), degree(pairs))
         part, whole = self.similarity
         possible = F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part
-        near = materialize(near.where(possible & (estimate(F.col("planes_a"), F.col("planes_b")) >= _least_estimate(part / whole))).select("a", "b"), "near-pairs")
-        self.fetch(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        near = materialize(near.where(possible & (estimate(F.col("planes_a"), F.col("planes_b")) >= _least_estimate(part / whole))).select("hub", "node"), "near-pairs")
+        self.fetch(near.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
         if self.sets is None:
             return
-        full = near.join(self.sets.toDF("a", "set_a"), "a").join(self.sets.toDF("b", "set_b"), "b")
+        full = salted_join(near.join(self.sets.toDF("node", "set_b"), "node"), "hub", "node", self.sets.toDF("hub", "set_a"), degree(near))
         shared = F.size(F.array_intersect("set_a", "set_b"))
-        self.add(full.where(self.agree(shared, F.size("set_a"), F.size("set_b"))).select("a", "b"))
+        self.add(full.where(self.agree(shared, F.size("set_a"), F.size("set_b"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
     def add(self, links: DataFrame) -> None:
         links = materialize(links, "links")
@@ -197,22 +201,21 @@ class _Graph:
     def roots(self, members: DataFrame) -> DataFrame:
         """``members`` (key, node, n) with their component, of the keys whose members are in more than one."""
         found = materialize(components(self.links), "roots").withColumnRenamed("node", "of")
-        placed = members.join(found, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        return materialize(placed.join(split, "key"), "split-keys")
+        placed = materialize(members.join(found, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "members-placed")
+        split = materialize(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("n").alias("n")).where("r0 <> r1").select("key", "n"), "split-keys")
+        return salted_join(placed, "key", "node", split.select("key"), split)
 
     def all_pairs(self, members: DataFrame) -> None:
         """Hold all members of each key, at most ``SMALL``, against those in other components."""
-        other = members.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("root").alias("r"))
-        pairs = members.withColumnRenamed("node", "a").join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("r")))
-        self.confirm(pairs.select("a", "b").distinct())
+        other = members.select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("root").alias("r"))
+        pairs = members.withColumnRenamed("node", "hub").join(other, (F.col("key") == F.col("k")) & (F.col("hub") < F.col("other")) & (F.col("root") != F.col("r")))
+        self.confirm(pairs.select("hub", F.col("other").alias("node")).distinct())
 
     def against_leaders(self, members: DataFrame, turn: int) -> None:
         """Hold each member of a key against the key's leader, unless they are in one component."""
         order = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node", "root")
-        leader = members.groupBy("key").agg(F.min(order).alias("leader"))
-        pairs = members.join(leader, "key").where("root <> leader.root").select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-        self.confirm(pairs.distinct())
+        led = with_leaders(members.select("key", "node", "root"), "key", "node", order).where("root <> leader.root")
+        self.confirm(led.select(F.col("leader.node").alias("hub"), "node").distinct())
 
     def across(self, members: DataFrame) -> None:
         """Hold the members of each key against those in other components, in blocks.
@@ -221,17 +224,18 @@ class _Graph:
         sketches tell which members have a possible partner at all; the full sets
         of those alone are compared.
         """
-        sizes = members.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", F.col("root").alias("main"))).alias("most"), F.sum("count").alias("all"))
-        sizes = sizes.select("key", "most.main", F.ceil((F.col("all") - F.col("most.count")) / BLOCK).alias("outer"), F.ceil(F.col("all") / BLOCK).alias("inner"))
-        planes = self.nodes.select(F.col("node").alias("of"), "planes", "n")
-        members = members.drop("n")
-        rows = members.join(sizes, "key").join(planes, F.col("node") == F.col("of")).drop("of")
-        active = materialize(_in_blocks(rows, self.size, self.similarity, sketches=True), "active").join(members, ["key", "node"])
+        planes = self.nodes.select("node", "planes", F.col("n").alias("shingles"))
+        rows = materialize(members.drop("n").join(planes, "node"), "across-members")
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("shingles").alias("weight"))
+        sizes = parts.groupBy("key").agg(F.max(F.struct("count", "weight", F.col("root").alias("main"))).alias("most"), F.sum("count").alias("n"), F.sum("weight").alias("weight"))
+        blocks = lambda n, weight: F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES))
+        sizes = materialize(sizes.select("key", "n", "most.main", blocks(F.col("n") - F.col("most.count"), F.col("weight") - F.col("most.weight")).alias("outer"), blocks(F.col("n"), F.col("weight")).alias("inner")), "across-sizes")
+        dealt = lambda some: salted_join(some, "key", "node", sizes.drop("n"), sizes)
+        active = materialize(_in_blocks(dealt(rows), self.size, self.similarity, sketches=True), "active").join(rows.select("key", "node", "root"), ["key", "node"])
         self.fetch(active.select("node").distinct())
         if self.sets is None:
             return
-        rows = active.join(sizes, "key").join(self.sets, "node")
-        self.add(_in_blocks(rows, self.size, self.similarity, sketches=False))
+        self.add(_in_blocks(dealt(active).join(self.sets, "node"), self.size, self.similarity, sketches=False))
 
 
 def _in_blocks(rows: DataFrame, size: int, similarity: tuple[int, int], sketches: bool) -> DataFrame:
@@ -242,7 +246,7 @@ def _in_blocks(rows: DataFrame, size: int, similarity: tuple[int, int], sketches
     """
     outside = F.col("root") != F.col("main")
     at = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n))
-    payload = ["planes", "n"] if sketches else ["hashes"]
+    payload = ["planes", F.col("shingles").alias("n")] if sketches else ["hashes"]
     base = ["key", "node", "root", *payload]
     left = rows.where(outside).select(*base, F.lit(True).alias("left"), at("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j"))
     right = rows.select(*base, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), at("inner").alias("j"))
@@ -307,7 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with fewer words is one shingle; null, empty and blank texts have no
     shingles, are linked with nothing, and have their own doc_id as component.
     A null doc_id is never a component's, unless it has no other. An empty table
-    gives an empty result.
+    gives an empty result. Texts of any length are compared whole; other columns
+    are not looked at.
     """
     with_rows, locator = located(docs)
     return _near_duplicates(with_rows, locator, id_col, text_col, words, similarity)
@@ -318,34 +323,38 @@ def _near_duplicates(with_rows: DataFrame, locator: str, id_col: str, text_col:
     graph = _Graph(with_rows, text_col, locator, words, similarity)
     signed = graph.signed(with_rows, id_col, locator, text_col)
     keys = graph.nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(keys.join(shared, "key"), "members")
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    members = materialize(salted_join(keys, "key", "node", shared, shared), "members")
     graph.against_leaders(members.withColumn("root", F.col("node")), 0)
     if graph.links is None:
         graph.add(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    left = graph.roots(members.where("n > 2"))  # of two members the one pair is done
+    left = materialize(graph.roots(members.where("n > 2")), "left")  # of two members the one pair is done
     graph.all_pairs(left.where(F.col("n") <= SMALL))
     large = left.where(F.col("n") > SMALL)
     if not large.isEmpty():
         graph.against_leaders(large, 1)
         graph.across(graph.roots(large.drop("root")))
-    roots = components(graph.links).withColumnRenamed("node", "of")
-    placed = signed.select("doc_id", "locator", "n", "node").join(roots, F.col("node") == F.col("of"), "left").select("doc_id", "locator", "n", F.coalesce("root", "node").alias("root"))
-    placed = materialize(placed, "placed")
-    some = placed.where("n > 0")
+    # Many rows may share a node, and many nodes a root.
+    count = lambda rows, key: rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows = signed.select("doc_id", "locator", F.col("n").alias("n_shingles"), "node")
+    placed = materialize(salted_join(rows, "node", "locator", components(graph.links), count(rows, "node"), "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    some = placed.where("n_shingles > 0")
     least = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("one"))
-    joined = some.join(least, "root").select("doc_id", "locator", F.col("n").alias("n_shingles"), F.col("one.doc_id").alias("component_id"), (F.col("locator") == F.col("one.locator")).alias("first"))
-    alone = placed.where("n = 0").select("doc_id", "locator", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    joined = salted_join(some, "root", "locator", least, count(some, "root")).select("doc_id", "locator", "n_shingles", F.col("one.doc_id").alias("component_id"), (F.col("locator") == F.col("one.locator")).alias("first"))
+    alone = placed.where("n_shingles = 0").select("doc_id", "locator", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return joined.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``docs`` with one row of each component of near duplicates, columns unchanged."""
+    """``docs`` with one row of each component of near duplicates, columns unchanged.
+
+    The first in the sense of :func:`near_duplicates` stays; null and blank texts
+    all stay; of rows repeated whole one stays. An empty table stays empty;
+    columns of any name are kept.
+    """
     with_rows, locator = located(docs)
     dropped = materialize(_near_duplicates(with_rows, locator, id_col, text_col, words, similarity).where("NOT first").select(F.col("locator").alias(locator)), "near-dropped")
-    if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return with_rows.join(dropped, locator, "left_anti").select(*docs.columns)
+    return with_rows.join(bounded_broadcast(dropped), locator, "left_anti").select(*docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
