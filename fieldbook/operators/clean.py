@@ -22,13 +22,18 @@ def check_columns(sheet: DataFrame, required: tuple[str, ...] = REQUIRED, option
     return sheet.withColumnRenamed("NOTES/ ERRORS", "NOTES")
 
 
-def split_files(sheet: DataFrame, files: str, row_id: str, sighting: str = "SIGHTING_ID") -> DataFrame:
+def split_files(sheet: DataFrame, files: str, row_id: str, sighting: str = "SIGHTING_ID", place: str | None = None) -> DataFrame:
     """A row per file of a cell that lists several (by comma or ``and``); rows of one input row share a sighting ``S<row>``.
 
-    ``row_id`` numbers the input rows, also those that list no file. A null cell lists none.
+    ``row_id`` numbers the input rows, also those that list no file. A null cell
+    lists none. ``place`` names a column for the file's place in its cell.
     """
     names = F.filter(F.transform(F.split(F.regexp_replace(F.col(files), " and ", ","), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return sheet.withColumn(sighting, F.concat(F.lit("S"), F.col(row_id))).withColumn(files, F.explode(names))
+    rows = sheet.withColumn(sighting, F.concat(F.lit("S"), F.col(row_id)))
+    if place is None:
+        return rows.withColumn(files, F.explode(names))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != files]
+    return rows.select(*kept, F.posexplode(names).alias(place, files))
 
 
 def first_of_duplicates(rows: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
@@ -143,8 +148,8 @@ def clean_sheet(sheet: DataFrame, row_id: str, base: str = "") -> DataFrame:
     """The whole chain: columns, files, metadata, places, dates, identities, first of duplicates. ``row_id`` numbers the rows."""
     ids = sheet.select(row_id, *[c for c in sheet.columns if c != row_id])
     rows = check_columns(ids, REQUIRED, (*OPTIONAL, row_id)).withColumn(row_id, F.col(row_id).cast("bigint"))
-    rows = split_files(rows, "Files Name", row_id)
+    rows = split_files(rows, "Files Name", row_id, place="__file").withColumn("__order", F.struct(row_id, "__file"))
     rows = add_file_metadata(rows, base=base).transform(normalise_places)
     rows = clean_dates(rows) if {"DATE", "TIME"} <= set(rows.columns) else rows
-    rows = first_of_duplicates(rows, ["CAMERA TRAP SITE", "CAM", "JAGUAR ID", "Files Name"], row_id)[0]
-    return fill_unknown_identities(rows, "JAGUAR ID", row_id)
+    rows = first_of_duplicates(rows, ["CAMERA TRAP SITE", "CAM", "JAGUAR ID", "Files Name"], "__order")[0]
+    return fill_unknown_identities(rows, "JAGUAR ID", "__order").drop("__file", "__order")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +19,62 @@ def unmark(samples: DataFrame, tag: str = "duplicate") -> DataFrame:
     return samples.withColumns({"is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("long"), "duplicate_similarity": F.lit(None).cast("double"), "tags": F.array_remove("tags", tag)})
 
 
+#: Edges among unsettled rows that one task settles row by row.
+SETTLED_AT_ONCE = 1_000_000
+
+
+def _settle(edges: DataFrame) -> DataFrame:
+    """(id, leads) of all ends of ``edges`` (a < b), by rounds that drop what is settled; the last edges are settled in one task."""
+    done: list[DataFrame] = []
+    while True:
+        if edges.limit(SETTLED_AT_ONCE + 1).count() <= SETTLED_AT_ONCE:
+            done.append(materialize(edges.coalesce(1).mapInPandas(_in_order, "id long, leads boolean"), "leaders"))
+            break
+        ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        first = ends.join(edges.select(F.col("b").alias("id")), "id", "left_anti")  # no earlier neighbour is left
+        led = edges.join(first.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
+        settled = materialize(first.withColumn("leads", F.lit(True)).unionByName(led.withColumn("leads", F.lit(False))), "leaders")
+        done.append(settled)
+        ids = settled.select("id")
+        rest = materialize(edges.join(ids.withColumnRenamed("id", "a"), "a", "left_anti").join(ids.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"), "edges")
+        # Rows that lost all their edges have no leader among their neighbours.
+        left = ends.join(ids, "id", "left_anti").join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
+        done.append(materialize(left.withColumn("leads", F.lit(True)), "leaders"))
+        edges = rest
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The loop itself, over a bounded number of edges: a row leads unless an earlier neighbour does."""
+    parts = list(batches)
+    edges = pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": []})
+    a, b = edges["a"].to_numpy(np.int64), edges["b"].to_numpy(np.int64)
+    order = np.argsort(b, kind="stable")
+    a, b = a[order], b[order]
+    leads = dict.fromkeys(np.unique(np.concatenate([a, b])).tolist(), True)
+    cuts = [*np.flatnonzero(np.diff(b, prepend=b[:1] - 1)), len(b)]
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        leads[int(b[start])] = not any(leads[x] for x in a[start:stop].tolist())
+    yield pd.DataFrame({"id": list(leads), "leads": list(leads.values())}).astype({"id": "int64", "leads": "bool"})
+
+
 def greedy_leaders(vectors: DataFrame, least: float) -> DataFrame:
     """(id, is_duplicate, duplicate_of, duplicate_similarity) for (id, vector), going through the rows by id.
 
     A row is a leader unless an earlier leader is similar; it then is a duplicate
-    of the first such leader. Rows are settled in rounds: one without unsettled
-    earlier neighbours that aren't duplicates is a leader, its later neighbours
-    are duplicates. Equal vectors are settled once, as their first row. Null
-    vectors are left out before positions are taken.
+    of the first such leader. Rows without an unsettled earlier neighbour are
+    leaders and settle their later neighbours, round by round, until few edges
+    are left. Equal vectors are settled once, as their first row. Null vectors
+    are left out before positions are taken.
     """
     rows = vectors.where("vector IS NOT NULL").select("id", "vector")
     equal = materialize(rows.groupBy("vector").agg(F.min("id").alias("first")), "equal-vectors")
     members = rows.join(equal, "vector").select("id", "first")
     edges = materialize(similar_edges(equal.select(F.col("first").alias("id"), "vector"), least), "edges")
-    state = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("leads", F.lit(None).cast("boolean"))
-    state = materialize(state, "leaders")
-    while True:
-        earlier = edges.join(state.select(F.col("id").alias("a"), F.col("leads").alias("a_leads")), "a")
-        told = earlier.groupBy("b").agg(F.max(F.coalesce(F.col("a_leads"), F.lit(False)).cast("int")).alias("led"), F.max(F.col("a_leads").isNull().cast("int")).alias("waits"))
-        joined = state.join(told.withColumnRenamed("b", "of"), F.col("id") == F.col("of"), "left")
-        decided = F.when(F.col("led") == 1, F.lit(False)).when(F.coalesce("waits", F.lit(0)) == 0, F.lit(True))
-        state = materialize(joined.select("id", F.coalesce("leads", decided).alias("leads")), "leaders")
-        if state.where("leads IS NULL").isEmpty():
-            break
+    state = _settle(edges.select("a", "b"))
     first = edges.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("best"))
     led = state.where("NOT leads").join(first.withColumnRenamed("b", "of"), F.col("id") == F.col("of")).select(F.col("id").alias("first"), F.col("best.a").alias("leader"), F.col("best.similarity").alias("s"))
     out = members.join(led, "first", "left")

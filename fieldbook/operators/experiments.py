@@ -75,3 +75,18 @@ def top(rows: DataFrame, metric: str, n: int = 10, key: str = "experiment") -> D
 def newest_first(runs: DataFrame, key: str) -> DataFrame:
     """``runs`` with age, 1 for the newest of its key."""
     return runs.withColumn("age", F.row_number().over(Window.partitionBy(key).orderBy(timestamp_or_least(F.col("created_at")).desc(), "run_id")))
+
+
+def sweep_spec(metric: str, axes: dict[str, list], method: str = "bayes", runs: int = 20, least_epochs: int = 5) -> dict:
+    """A sweep's specification: what to maximise, over which values, and when to stop early."""
+    return {"method": method, "metric": {"name": metric, "goal": "maximize"}, "run_cap": runs, "parameters": {k: {"values": list(v)} for k, v in axes.items()}, "early_terminate": {"type": "hyperband", "min_iter": least_epochs}}
+
+
+def grouped(experiments: DataFrame, group: str) -> DataFrame:
+    """(group, experiments, n): the names of each group's experiments, sorted."""
+    return experiments.groupBy(group).agg(F.sort_array(F.collect_list("experiment")).alias("experiments"), F.count(F.lit(1)).alias("n"))
+
+
+def best_run(runs: DataFrame, metric: str, key: str = "run_id") -> DataFrame:
+    """The row with the largest metric, the least key of equals; none if no row has a number."""
+    return top(runs.withColumn(metric, F.col(metric).try_cast("double")).where(F.col(metric).isNotNull()), metric, 1, key)

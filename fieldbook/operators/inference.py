@@ -54,14 +54,14 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) ->
         empty = {"query": "int64", "id": "int64", "similarity": "float64"}
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in empty}).astype(empty)
-        ids = b["id"].to_numpy()
+        b = b.sort_values("id")
+        ids, mine = b["id"].to_numpy(), a["id"].to_numpy()
         s = np.round(unit_matrix(a) @ unit_matrix(b).T, 12)
-        parts = []
-        for name, row in zip(a["id"], s, strict=True):
-            order = np.lexsort((ids, -row))
-            order = order[ids[order] != name][:k]
-            parts.append(pd.DataFrame({"query": name, "id": ids[order], "similarity": row[order]}))
-        return pd.concat(parts).astype(empty)
+        s[mine[:, None] == ids[None]] = -np.inf
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties by id
+        found = np.take_along_axis(s, order, 1)
+        made = pd.DataFrame({"query": np.repeat(mine, order.shape[1]), "id": ids[order].ravel(), "similarity": found.ravel()})
+        return made[np.isfinite(made["similarity"])].astype(empty)
 
     pairs = over_block_pairs(left, right, n_left, n_right, best, "query long, id long, similarity double")
     kept = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "id"))), 1, k).alias("best"))

@@ -1,76 +1,116 @@
 """Retrieval metrics and losses.
 
-Ranking a gallery for each query needs only the ranks of its positives: the
-similarity of each positive is found by a join within the identity, and pairs of
-blocks then count how many gallery rows stand before it. No full ranking exists
-anywhere.
+Ranking a gallery for each query needs only the places of its positives, and how
+many positives stand before each. Rows of a label are dealt to one block (those
+of a large label to several), so a task has a block of queries, the block of
+their positives, and a block of the gallery, and counts for each positive the
+gallery's rows before it. No ranking and no list of pairs exists anywhere else.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.operators.vectors import blocks_of, over_block_pairs, unit_matrix
+from fieldbook.operators.vectors import n_blocks, unit_matrix
 from fieldbook.session import materialize
 
 CMC_AT = (1, 5, 10, 20)
 
 
-def positive_ranks(vectors: DataFrame, block: int = 2048) -> DataFrame:
-    """(query, label, positive, rank) of (id, label, vector): where each other row of the label stands in the query's ranking.
+def _label_blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """``rows`` with their block; (of, first, last), the blocks that share labels with a block; and the number of blocks.
+
+    Labels are dealt by hash into as many blocks as the rows need; a label with
+    more rows than a block takes blocks of its own.
+    """
+    n = n_blocks(rows, block)
+    share = max(1, min(block, -(-rows.count() // n)))
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * share).select(F.col("label").alias("of"), F.ceil(F.col("n") / share).cast("int").alias("own"))
+    large = sizes.collect()  # at most half as many as there are blocks
+    first, plan = n, []
+    for r in sorted(large, key=lambda r: str(r["of"])):
+        plan.append((r["of"], first, r["own"]))
+        first += r["own"]
+    kind = rows.schema["label"].dataType.simpleString()
+    own = rows.sparkSession.createDataFrame(plan, f"of {kind}, first int, own int")
+    placed = rows.join(F.broadcast(own), F.col("label").eqNullSafe(F.col("of")), "left")
+    at = F.coalesce(F.col("first") + F.pmod(F.xxhash64("id"), F.col("own")), F.pmod(F.xxhash64("label"), F.lit(n))).cast("int")
+    kin = [(i, i, i) for i in range(n)] + [(first + i, first, first + own - 1) for _, first, own in plan for i in range(own)]
+    return placed.withColumn("block", at).drop("of", "first", "own"), rows.sparkSession.createDataFrame(kin, "of int, first int, last int"), first
+
+
+def _before(ordered: np.ndarray, order: np.ndarray, ids: np.ndarray, s: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """How many of a ranking (falling similarity negated, ties by id) stand before each of (s, names)."""
+    low, high = np.searchsorted(ordered, -s, "left"), np.searchsorted(ordered, -s, "right")
+    count = low.copy()
+    for k in np.flatnonzero(high > low):
+        count[k] += np.searchsorted(ids[order[low[k] : high[k]]], names[k])
+    return count
+
+
+def query_precision(vectors: DataFrame, block: int = 2048, best_only: bool = False) -> DataFrame:
+    """(query, label, ap, first) of (id, label, vector): average precision, and the rank of the first positive, of queries that have one.
 
     The gallery is all other rows, by falling cosine, ties by id. Similarities
     are rounded to 12 places so that ties are ties whatever the summation order.
+    ``best_only`` looks at each query's best positive alone: ``first`` is the
+    same, ``ap`` has no meaning.
     """
-    rows, n = blocks_of(vectors.select("id", "label", "vector"), block)
+    rows, kin, n = _label_blocks(vectors.where("vector IS NOT NULL").select("id", "label", "vector"), block)
     rows = materialize(rows, "ranked-vectors")
-
-    def similar(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        return np.round(unit_matrix(a) @ unit_matrix(b).T, 12)
-
-    def positives(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query": [], "positive": [], "similarity": []}).astype({"query": "int64", "positive": "int64", "similarity": "float64"})
-        same = (a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None]) & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None])
-        x, y = np.nonzero(same)
-        return pd.DataFrame({"query": a["id"].to_numpy()[x], "positive": b["id"].to_numpy()[y], "similarity": similar(a, b)[x, y]})
-
-    pairs = over_block_pairs(rows, rows, n, n, positives, "query long, positive long, similarity double")
-    own = pairs.groupBy("query").agg(F.collect_list(F.struct("similarity", "positive")).alias("hits"))
-    left = rows.join(own.withColumnRenamed("query", "id"), "id", "left")
-    right = rows.withColumn("hits", F.lit(None).cast("array<struct<similarity:double,positive:bigint>>"))
-
-    def before(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query": [], "positive": [], "before": []}
-        if not a.empty and not b.empty:
-            ids = b["id"].to_numpy()
-            s = similar(a, b)
-            for k, (name, hits) in enumerate(zip(a["id"], a["hits"], strict=True)):
-                if hits is None or len(hits) == 0:
+    kin = F.broadcast(kin)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = ["id", "label", "vector", "role", "i", "k", "j"]
+    own = rows.join(kin, F.col("block") == F.col("of"))
+    queries = own.withColumns({"role": F.lit(0), "i": F.col("block"), "k": F.explode(F.sequence("first", "last"))}).withColumn("j", every).select(*cells)
+    positives = own.withColumns({"role": F.lit(1), "k": F.col("block"), "i": F.explode(F.sequence("first", "last"))}).where("i <> k").withColumn("j", every).select(*cells)
+    pairs = F.broadcast(kin.select(F.col("of").alias("i"), F.explode(F.sequence("first", "last")).alias("k")))
+    gallery = rows.withColumns({"role": F.lit(2), "j": F.col("block")}).crossJoin(pairs).select(*cells)
+
+    def count(cell: pd.DataFrame) -> pd.DataFrame:
+        parts = [cell[cell["role"] == r].sort_values("id") for r in (0, 1, 2)]
+        q, p, g = parts[0], parts[1] if cell["i"].iloc[0] != cell["k"].iloc[0] else parts[0], parts[2]
+        out: dict[str, list] = {"query": [], "k": [], "before": [], "hits": []}
+        if len(q) and len(p):
+            ids, names = g["id"].to_numpy(), p["id"].to_numpy()
+            mine, theirs = q["id"].to_numpy(), q["label"].to_numpy()
+            unit = unit_matrix(q)
+            s = np.round(unit @ unit_matrix(g).T, 12) if len(g) else np.zeros((len(q), 0))
+            s[mine[:, None] == ids[None]] = -np.inf
+            order = np.argsort(-s, axis=1, kind="stable")
+            to_p = np.round(unit @ unit_matrix(p).T, 12)
+            p_labels, g_labels = p["label"].to_numpy(), g["label"].to_numpy()
+            for x in range(len(q)):
+                at = np.flatnonzero((p_labels == theirs[x]) & (names != mine[x]))
+                if not len(at):
                     continue
-                order = np.lexsort((ids, -s[k]))
-                order = order[ids[order] != name]
-                ranked = list(zip((-s[k][order]).tolist(), ids[order].tolist(), strict=True))
-                import bisect
-
-                out["query"] += [name] * len(hits)
-                out["positive"] += [h["positive"] for h in hits]
-                out["before"] += [bisect.bisect_left(ranked, (-h["similarity"], h["positive"])) for h in hits]
-        return pd.DataFrame(out).astype("int64")
-
-    counted = over_block_pairs(left.select("id", "label", "vector", "hits", "block"), right.select("id", "label", "vector", "hits", "block"), n, n, before, "query long, positive long, before long")
-    ranks = counted.groupBy("query", "positive").agg((F.sum("before") + 1).alias("rank"))
-    return ranks.join(rows.select(F.col("id").alias("query"), "label"), "query")
+                if best_only:
+                    at = at[np.argmax(to_p[x, at])][None]
+                before = _before(-s[x, order[x]], order[x], ids, to_p[x, at], names[at])
+                same = np.concatenate([[0], np.cumsum(g_labels[order[x]] == theirs[x])])
+                out["query"].append(mine[x])
+                out["k"].append(int(cell["k"].iloc[0]))
+                out["before"].append(before.tolist())
+                out["hits"].append(same[before].tolist())
+        return pd.DataFrame(out).astype({"query": "int64", "k": "int32", "before": object, "hits": object})
+
+    cell = queries.unionByName(positives).unionByName(gallery)
+    counted = cell.repartition(2 * n * n, "i", "k", "j").groupBy("i", "k", "j").applyInPandas(count, "query long, k int, before array<long>, hits array<long>")
+    lists = counted.groupBy("query", "k").agg(F.collect_list("before").alias("before"), F.collect_list("hits").alias("hits"))
+    total = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda acc, x: F.zip_with(acc, x, lambda u, v: u + v))
+    ranks = lists.select("query", total(F.col("before")).alias("before"), total(F.col("hits")).alias("hits"))
+    precision = F.zip_with("before", "hits", lambda b, h: (h + 1) / (b + 1))
+    parts = ranks.select("query", F.aggregate(precision, F.lit(0.0), lambda acc, x: acc + x).alias("sum"), F.size("before").alias("n"), (F.array_min("before") + 1).alias("first"))
+    found = parts.groupBy("query").agg((F.sum("sum") / F.sum("n")).alias("ap"), F.min("first").alias("first"))
+    return found.join(rows.select(F.col("id").alias("query"), "label"), "query").select("query", "label", "ap", "first")
 
 
 def retrieval_metrics(vectors: DataFrame, at: tuple[int, ...] = CMC_AT, block: int = 2048) -> DataFrame:
     """One row: n_queries (with a positive), map, identity_balanced_map, cmc_<k>; of no valid query n_queries is 0 and the rest null."""
-    ranks = positive_ranks(vectors, block)
-    hit = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
-    per_query = ranks.withColumn("precision", hit / F.col("rank")).groupBy("query", "label").agg(F.avg("precision").alias("ap"), F.min("rank").alias("first"))
+    per_query = query_precision(vectors, block)
     per_label = per_query.groupBy("label").agg(F.sum("ap").alias("ap"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= k).alias(f"c{k}") for k in at])
     return per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_queries"), (F.sum("ap") / F.sum("n")).alias("map"), F.avg(F.col("ap") / F.col("n")).alias("identity_balanced_map"), *[(F.sum(f"c{k}") / F.sum("n")).alias(f"cmc_{k}") for k in at])
 
@@ -84,8 +124,7 @@ def with_support(vectors: DataFrame, least: int, support: DataFrame | None = Non
 def cmc_all_queries(vectors: DataFrame, at: tuple[int, ...] = (1, 3, 5), block: int = 2048) -> DataFrame:
     """One row: cmc_<k> over all queries, the query itself standing last: for k of all rows or more, each query finds itself."""
     n = vectors.where("vector IS NOT NULL").count()
-    first = positive_ranks(vectors, block).groupBy("query").agg(F.min("rank").alias("first"))
-    return first.agg(*[((F.lit(float(n)) if k >= n else F.count_if(F.col("first") <= k)) / F.lit(float(n)) if n else F.lit(None).cast("double")).alias(f"cmc_{k}") for k in at])
+    return query_precision(vectors, block, best_only=True).agg(*[((F.lit(float(n)) if k >= n else F.count_if(F.col("first") <= k)) / F.lit(float(n)) if n else F.lit(None).cast("double")).alias(f"cmc_{k}") for k in at])
 
 
 def log_sum_exp(x: Column) -> Column:

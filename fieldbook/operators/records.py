@@ -62,3 +62,9 @@ def expected_path(rows: DataFrame, listing: DataFrame, name: str, site: str, cam
     built = F.when(t.file_type(F.col(name)) == "VIDEO", F.concat_ws("/", F.lit("sites"), site, cam, name)).otherwise(F.concat_ws("/", F.lit("sites"), F.col(site), F.lit(photo_dir), F.col(name)))
     path = F.coalesce("by_name.path", "by_stem.path", F.when(F.col(site).isNotNull(), built))
     return joined.withColumn("expected_path", path).drop("__name", "__stem", "__s", "by_name", "by_stem")
+
+
+def detections_of(exported: Column, good: Column) -> Column:
+    """An export's detections as typed ones: those with a label and a box; ``good`` tells of each (by position) whether its mask can be read."""
+    kept = F.filter(F.zip_with(exported, good, lambda d, ok: F.struct(d.alias("d"), ok.alias("ok"))), lambda x: F.coalesce(x["ok"], F.lit(False)) & x["d"]["label"].isNotNull() & (F.size(x["d"]["bounding_box"]) == 4))
+    return F.transform(kept, lambda x: x["d"])

@@ -75,6 +75,25 @@ def class_balanced_sample(samples: DataFrame, label: str, n: int, id_col: str =
     return rows.orderBy("__t", id_col).limit(n).drop("__t")
 
 
+def _uniform(seed: int, *parts: Column, salt: str) -> Column:
+    """A number in [0, 1) from the first 48 bits of :func:`draw`."""
+    return F.conv(F.substring(draw(seed, *parts, salt=salt), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
+def class_balanced_draws(samples: DataFrame, label: str, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """(draw, label, id): ``n`` draws with replacement, chance by class weight: a class, all alike, then one of its rows, all alike."""
+    rows = numbered_in_order(samples.where(F.col(label).isNotNull()).select(F.col(label).alias("__label"), F.col(id_col).alias("__id"), F.struct(label, id_col).alias("__order")), "__order", "__n")
+    classes = rows.groupBy("__label").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    classes = numbered_in_order(classes, "__label", "__class")
+    n_classes = classes.count()
+    draws = samples.sparkSession.range(n).withColumnRenamed("id", "draw")
+    draws = draws.withColumn("__class", F.floor(_uniform(seed, F.col("draw"), salt="d") * n_classes) + 1)
+    if not n_classes:
+        return samples.select(F.lit(0).cast("long").alias("draw"), label, id_col).limit(0)
+    draws = draws.join(F.broadcast(classes) if n_classes <= 100_000 else classes, "__class").withColumn("__n", F.col("__first") + F.floor(_uniform(seed, F.col("draw"), salt="r") * F.col("__size")))
+    return draws.drop("__label").join(rows, "__n").select("draw", F.col("__label").alias(label), F.col("__id").alias(id_col))
+
+
 def random_subset(rows: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """``n`` rows without replacement."""
     return rows.orderBy(draw(seed, F.col(id_col)), id_col).limit(n)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """(value, n, share) of a column; null is a value."""
     counts = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return with_share(counts)
+
+
+def with_share(counts: DataFrame) -> DataFrame:
+    """``counts`` with each row's share of the sum of ``n``, which is one row and broadcast."""
+    total = counts.agg(F.sum("n").alias("__total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
 
 
 def field_population(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -43,8 +49,7 @@ def duplicate_rates(rows: DataFrame) -> DataFrame:
 def detection_histogram(rows: DataFrame, field: str) -> DataFrame:
     """(n_detections, n, share): samples by number of detections, null counted as none."""
     counted = rows.withColumn("n_detections", F.when(F.col(field).isNull(), 0).otherwise(F.size(field)))
-    counts = counted.groupBy("n_detections").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return with_share(counted.groupBy("n_detections").agg(F.count(F.lit(1)).alias("n")))
 
 
 def quality_counts(rows: DataFrame, identity: str, field: str, embedding: str) -> DataFrame:
@@ -89,3 +94,21 @@ def status_counts(rows: DataFrame, column: str, known: list[str]) -> DataFrame:
     """(value, n) for each of ``known``, 0 if there are none."""
     one = rows.agg(*[F.count_if(F.col(column) == k).alias(k) for k in known])
     return one.unpivot([], known, "value", "n")
+
+
+def resolved_counts(rows: DataFrame, own: str, other: str) -> DataFrame:
+    """One row: terminals with an identity, and identities that either side gives (any that isn't null, whatever its status)."""
+    return rows.agg(F.count(own).alias("terminal"), F.count(F.coalesce(own, other)).alias("resolved"), F.count_if(F.col(own).isNull() & F.col(other).isNull()).alias("unresolved"))
+
+
+def slide_report(slides: DataFrame, identity: str = "identity", site: str = "site") -> DataFrame:
+    """One row: pictures, and how many identities and sites they name."""
+    return slides.agg(F.count(F.lit(1)).alias("pictures"), F.count_distinct(identity).alias("identities"), F.count_distinct(site).alias("sites"))
+
+
+def view_counts(snapshot: DataFrame) -> DataFrame:
+    """(view, n) of the nine saved views, in one pass."""
+    tests = {"all": F.lit(True), "lineage_unresolved": F.col("lineage_status") != "matched", "review_required": F.col("review_required")}
+    tests |= {f"{kind}_{part}": F.col(f"{kind}_split") == part for kind in ("closed_set", "open_set") for part in ("train", "val", "test")}
+    one = snapshot.agg(*[F.count_if(t).alias(name) for name, t in tests.items()])
+    return one.unpivot([], one.columns, "view", "n")

@@ -73,28 +73,58 @@ def population_errors(records: DataFrame, expected: int, expected_missing: DataF
 
 def random_units(ids: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """Seeded random unit vectors for (id): a baseline. Numbers are hashes of id, place and seed through Box and Muller."""
-    u = lambda i, k: (F.pmod(F.xxhash64("id", i, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+
+    def u(i: Column, k: int) -> Column:
+        digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string"), F.lit(str(k)))), 1, 12)
+        return (F.conv(digits, 16, 10).cast("double") + 1) / float(16**12 + 1)
+
     normal = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.sqrt(-2 * F.log(u(i, 0))) * F.cos(2 * np.pi * u(i, 1)))
-    return ids.withColumn("embedding", normalised(normal).cast("array<float>"))
+    drawn = ids.withColumn("embedding", normal)
+    return drawn.withColumn("embedding", normalised(F.col("embedding")).cast("array<float>"))
+
+
+def revision_errors(records: DataFrame, revision: str) -> DataFrame:
+    """(id, error): embedded rows whose revision isn't the recorded one."""
+    wrong = F.col("embedding").isNotNull() & ~F.col("revision").eqNullSafe(F.lit(revision))
+    return records.where(wrong).select("id", F.concat(F.lit(f"expected revision {revision}, found "), F.coalesce("revision", F.lit("none"))).alias("error"))
+
+
+def embedding_choice(columns: list[str], given: str | None, model: str, usual: str = "embeddings_full_image") -> str:
+    """The column that holds the embeddings: the given one, else the usual one if there is such a column, else the model's."""
+    import re
+
+    return given or (usual if usual in columns else "embeddings_" + re.sub("[/-]", "_", model.rsplit(":", 1)[-1]))
+
+
+def n_blocks(rows: DataFrame, block: int = BLOCK) -> int:
+    """How many blocks of at most ``block`` rows: enough that the pairs of blocks occupy all cores, if that leaves a hundred rows in each."""
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // block), min(-(-n // 128), int(np.ceil(np.sqrt(2 * cores)))))
 
 
 def blocks_of(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
     """``vectors`` (id, vector, ...) without null vectors, with their block number, and the number of blocks."""
     rows = vectors.where("vector IS NOT NULL")
-    n = max(1, -(-rows.count() // block))
+    n = n_blocks(rows, block)
     return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def over_block_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run ``work`` on every pair of a left and a right block. Both sides have (id, vector, block) and the same further columns."""
+def over_block_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, symmetric: bool = False) -> DataFrame:
+    """Run ``work`` on every pair of a left and a right block. Both sides have (id, vector, block) and the same further columns.
+
+    ``symmetric``: both sides are the same rows, and of (i, j) and (j, i) one is enough.
+    """
     columns = [c for c in left.columns if c != "block"]
-    a = left.select(*columns, F.lit(True).alias("is_left"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("j"))
-    b = right.select(*columns, F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("i"), F.col("block").alias("j"))
+    from_, to = (F.col("block"), F.col("block")) if symmetric else (F.lit(0), F.lit(n_left - 1))
+    a = left.select(*columns, F.lit(True).alias("is_left"), F.col("block").alias("i"), F.explode(F.sequence(from_, F.lit(n_right - 1))).alias("j"))
+    b = right.select(*columns, F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), to)).alias("i"), F.col("block").alias("j"))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         return work(block[block["is_left"]].reset_index(drop=True), block[~block["is_left"]].reset_index(drop=True))
 
-    return a.unionByName(b).groupBy("i", "j").applyInPandas(run, schema)
+    # A number of partitions that is asked for is not coalesced: a task for each pair or few.
+    return a.unionByName(b).repartition(2 * n_left * n_right, "i", "j").groupBy("i", "j").applyInPandas(run, schema)
 
 
 def unit_matrix(rows: pd.DataFrame) -> np.ndarray:
@@ -105,6 +135,10 @@ def unit_matrix(rows: pd.DataFrame) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
 
 
+def _same_block(a: np.ndarray, b: np.ndarray) -> bool:
+    return np.array_equal(np.sort(a), np.sort(b))
+
+
 def similar_edges(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity): pairs a < b of different vectors with cosine of at least ``least``. Rows with equal vectors should be one row."""
     rows, n = blocks_of(vectors.select("id", "vector"), block)
@@ -113,10 +147,14 @@ def similar_edges(vectors: DataFrame, least: float, block: int = BLOCK) -> DataF
         if a.empty or b.empty:
             return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})
         s = unit_matrix(a) @ unit_matrix(b).T
-        x, y = np.nonzero((s >= least) & (a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None]))
-        return pd.DataFrame({"a": a["id"].to_numpy()[x], "b": b["id"].to_numpy()[y], "similarity": s[x, y]})
+        mine, other = a["id"].to_numpy(), b["id"].to_numpy()
+        wanted = s >= least
+        if _same_block(mine, other):
+            wanted &= mine[:, None] < other[None]
+        x, y = np.nonzero(wanted)
+        return pd.DataFrame({"a": np.minimum(mine[x], other[y]), "b": np.maximum(mine[x], other[y]), "similarity": s[x, y]})
 
-    return over_block_pairs(rows, rows, n, n, work, "a long, b long, similarity double")
+    return over_block_pairs(rows, rows, n, n, work, "a long, b long, similarity double", symmetric=True)
 
 
 def neighbour_counts(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
@@ -127,13 +165,14 @@ def neighbour_counts(vectors: DataFrame, least: float, block: int = BLOCK) -> Da
         empty = {"id": "int64", "n": "int64", "nearest": "int64", "similarity": "float64"}
         if a.empty or b.empty:
             return pd.DataFrame({k: [] for k in empty}).astype(empty)
-        ids = b["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        s = (unit_matrix(a) @ unit_matrix(b).T)[:, order]
-        s[a["id"].to_numpy()[:, None] == ids[order][None]] = -np.inf
-        best = s.argmax(1)
-        return pd.DataFrame({"id": a["id"], "n": (s >= least).sum(1), "nearest": ids[order][best], "similarity": s[np.arange(len(a)), best]})
-
-    parts = over_block_pairs(rows, rows, n, n, work, "id long, n long, nearest long, similarity double")
+        a, b = a.sort_values("id"), b.sort_values("id")  # of equally similar rows the least id is the first
+        mine, other = a["id"].to_numpy(), b["id"].to_numpy()
+        s = unit_matrix(a) @ unit_matrix(b).T
+        s[mine[:, None] == other[None]] = -np.inf
+        told = lambda s, ids, others: pd.DataFrame({"id": ids, "n": (s >= least).sum(1), "nearest": others[s.argmax(1)], "similarity": s.max(1)})
+        both = [told(s, mine, other)] if _same_block(mine, other) else [told(s, mine, other), told(s.T, other, mine)]
+        return pd.concat(both)
+
+    parts = over_block_pairs(rows, rows, n, n, work, "id long, n long, nearest long, similarity double", symmetric=True)
     best = F.min(F.when(F.col("similarity") >= least, F.struct((-F.col("similarity")).alias("far"), "nearest")))
     return parts.groupBy("id").agg(F.sum("n").alias("n_links"), best.alias("best")).select("id", "n_links", F.col("best.nearest").alias("nearest"), (-F.col("best.far")).alias("similarity"))
