@@ -195,3 +195,9 @@ def stable_id(version: Column, path: Column) -> Column:
 def identities_compatible(a: Column, b: Column) -> Column:
     """Either is null, or they are equal once ``b`` is trimmed."""
     return a.isNull() | b.isNull() | (F.trim(b) == a)
+
+
+def number_or_text(value: Column, kind: Column) -> tuple[Column, Column]:
+    """A metric as a number, and as text where it is none; a boolean (by its ``kind``) stays text."""
+    number = F.when(kind != "boolean", value.try_cast("double"))
+    return number, F.when(number.isNull(), value)

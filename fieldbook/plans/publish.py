@@ -1,13 +1,17 @@
 """Staged publication of tables and their reports.
 
-A version is written beside its target, read back and validated, and only then
-renamed into place; the version it replaces is kept under a retired name. A run
-that fails leaves the published version as it was. One writer at a time is
-assumed. All paths go through Hadoop's FileSystem, so any shared store works.
+A version is written to a folder of its own below its target, read back and
+validated; then the pointer file ``CURRENT`` is replaced by one that names it,
+in one step, so a reader finds the old version or the new one and never none. The
+version it replaces stays where it is. A run that fails leaves the published
+version as it was. A lock file, made exclusively, keeps writers apart, and the
+pointer must not have changed since the run began. All paths go through Hadoop's
+file systems, so any shared store works.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections.abc import Callable
@@ -17,6 +21,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldbook.operators.curate import report
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -30,7 +36,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file whole: to a name of its own first, then renamed."""
+    """Write a small file whole: to a name of its own first, which then takes the place of ``path`` in one step."""
     fs, at, make = _fs(spark, path)
     part = make(f"{path}.part-{uuid.uuid4().hex}")
     out = fs.create(part, False)
@@ -38,10 +44,35 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if fs.exists(at):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    at, part = fs.makeQualified(at), fs.makeQualified(part)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, at, how)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file; None if there is none."""
+    if not exists(spark, path):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, target: str):
+    """Hold ``target``'s lock file: made exclusively, removed at the end. Raises FileExistsError if another run holds it."""
+    fs, at, make = _fs(spark, f"{target}.lock")
+    try:
+        fs.create(at, False).close()
+    except Exception as error:  # the JVM's error, whose kind depends on the store
+        if fs.exists(at):
+            raise FileExistsError(f"another run holds {target}.lock") from error
+        raise
+    try:
+        yield
+    finally:
         fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"could not rename to {path}")
 
 
 def to_json(value) -> str:
@@ -49,29 +80,89 @@ def to_json(value) -> str:
     return json.dumps(value, sort_keys=True, indent=2, default=str, ensure_ascii=False) + "\n"
 
 
+def current(spark: SparkSession, target: str) -> str | None:
+    """The folder of the published version; None if there is none."""
+    name = read_text(spark, f"{target}/CURRENT")
+    return f"{target}/{name.strip()}" if name else None
+
+
+def published(spark: SparkSession, target: str) -> DataFrame:
+    """The published version."""
+    if (path := current(spark, target)) is None:
+        raise FileNotFoundError(f"nothing is published at {target}")
+    return spark.read.parquet(path)
+
+
 def publish(frame: DataFrame, target: str, validate: Callable[[DataFrame], None], replace: bool = False) -> str | None:
-    """Publish ``frame`` as Parquet at ``target``; returns the path of the retired version, if there was one.
+    """Publish ``frame`` as Parquet at ``target``; returns the folder of the version that it replaces, if there was one.
 
     ``validate`` gets the staged table, read back, and raises if it is wrong.
+    Readers go through :func:`published`.
     """
     spark = frame.sparkSession
-    fs, at, make = _fs(spark, target)
-    if fs.exists(at) and not replace:
-        raise FileExistsError(f"{target} exists; pass replace=True to publish a new version")
-    staging = f"{target}.building-{uuid.uuid4().hex}"
-    frame.write.parquet(staging)
-    staged = spark.read.schema(frame.schema).parquet(staging)
-    validate(staged)
-    retired = None
-    if fs.exists(at):
-        retired = f"{target}.retired-{uuid.uuid4().hex}"
-        if not fs.rename(at, make(retired)):
-            raise OSError(f"could not retire {target}")
-    if not fs.rename(make(staging), at):
-        if retired:
-            fs.rename(make(retired), at)
-        raise OSError(f"could not publish {target}")
-    return retired
+    with locked(spark, target):
+        before = current(spark, target)
+        if before and not replace:
+            raise FileExistsError(f"{target} is published; pass replace=True to publish a new version")
+        name = f"version-{uuid.uuid4().hex}"
+        frame.write.parquet(f"{target}/{name}")
+        validate(spark.read.schema(frame.schema).parquet(f"{target}/{name}"))
+        if current(spark, target) != before:
+            raise RuntimeError(f"{target} changed while this version was made")
+        write_text(spark, f"{target}/CURRENT", name)
+    return before
+
+
+def curated_export(decisions: DataFrame, made: DataFrame, target: str, version: str, source: Callable[[], str]) -> dict:
+    """Publish a curated dataset: its samples as JSON lines, ``metadata.json`` and ``report.json``, and a pointer to their folder.
+
+    ``source`` gives the hash of the source's bytes; it must be the same after
+    the export as before. The samples are read back: as many as were kept, no
+    path or content twice, and paths with content as decided.
+    """
+    spark, before = decisions.sparkSession, source()
+    measures = {r["measure"]: r["value"] for r in report(decisions).collect()}
+    with locked(spark, target):
+        pinned = current(spark, target)
+        name = f"version-{uuid.uuid4().hex}"
+        made.write.json(f"{target}/{name}/samples.json")
+        staged = spark.read.schema("path string, sha256 string").json(f"{target}/{name}/samples.json")
+        n, paths, hashes = staged.agg(F.count(F.lit(1)), F.count_distinct("path"), F.count_distinct("sha256")).first()
+        if not n == paths == hashes == measures["kept"]:
+            raise ValueError(f"staged export has {n} samples, {paths} paths and {hashes} contents; {measures['kept']} were kept")
+        wanted = decisions.where("decision <> 'drop'").select("path", "sha256")
+        if not staged.exceptAll(wanted).isEmpty():
+            raise ValueError("staged export holds samples that were not decided on")
+        write_text(spark, f"{target}/{name}/metadata.json", to_json({"version": version, "samples": n, "source_sha256": before}))
+        write_text(spark, f"{target}/{name}/report.json", to_json(measures))
+        if source() != before:
+            raise RuntimeError("the source changed while it was exported")
+        if current(spark, target) != pinned:
+            raise RuntimeError(f"{target} changed while this version was made")
+        write_text(spark, f"{target}/CURRENT", name)
+    return measures
+
+
+def export_embeddings(rows: DataFrame, target: str) -> dict:
+    """Write (path, label, embedding, and whatever else) as Parquet, and ``metadata.json`` with rows, labels and the embeddings' size; returns that."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{target}/embeddings")
+    stored = spark.read.schema(rows.schema).parquet(f"{target}/embeddings")
+    n, labels, least, most = stored.agg(F.count(F.lit(1)), F.count_distinct("label"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    told = {"rows": n, "labels": labels, "embedding_shape": [n, least] if least == most else None, "columns": rows.columns}
+    write_text(spark, f"{target}/metadata.json", to_json(told))
+    return told
+
+
+def checkpoint_export(rows: DataFrame, target: str, without: tuple[str, ...] = ("content",)) -> dict:
+    """A copy of a table without its media, and ``manifest.json`` with its rows, fields and a checksum over all rows; returns that."""
+    spark, kept = rows.sparkSession, rows.drop(*without)
+    kept.write.mode("overwrite").parquet(f"{target}/rows")
+    stored = spark.read.schema(kept.schema).parquet(f"{target}/rows")
+    n, total = stored.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.to_json(F.struct("*"))).cast("decimal(38,0)"))).first()
+    told = {"rows": n, "fields": kept.columns, "checksum": str(total or 0)}
+    write_text(spark, f"{target}/manifest.json", to_json(told))
+    return told
 
 
 def same_rows(expected: int, key: str) -> Callable[[DataFrame], None]:
@@ -130,17 +221,17 @@ class RunReport:
 
 def snapshot_run(frame: DataFrame, target: str, key: str, reports: str, dry_run: bool = True, replace: bool = False) -> RunReport:
     """Audit, and unless ``dry_run`` stage, validate and publish a snapshot; the report is written even if the run fails."""
-    spark, report = frame.sparkSession, RunReport("snapshot")
+    spark, told = frame.sparkSession, RunReport("snapshot")
     try:
         n = frame.count()
-        report.at("audit", rows=n)
+        told.at("audit", rows=n)
         if not dry_run:
-            report.at("stage")
+            told.at("stage")
             retired = publish(frame, target, same_rows(n, key), replace)
-            report.at("done", retired=retired)
+            told.at("done", retired=retired)
     except Exception as error:
-        report.failed(error)
+        told.failed(error)
         raise
     finally:
-        report.write(spark, reports)
-    return report
+        told.write(spark, reports)
+    return told

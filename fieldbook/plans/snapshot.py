@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,7 +28,13 @@ SPLITS = ["closed_set_split", "open_set_split"]
 def snapshot_rows(records: DataFrame, identity: str = "resolved_identity") -> DataFrame:
     """Records as snapshot rows: exactly the schema's fields, cast to its types; fields that the records lack are null."""
     named = {"jaguar_id": F.col(identity), "ground_truth": F.when(F.col(identity).isNotNull(), F.struct(F.col(identity).alias("label")))}
-    number = lambda f: F.col(f.name).try_cast(f.dataType) if f.name in ("latitude", "longitude") else F.col(f.name).cast(f.dataType)
+    boolean = {f.name for f in records.schema.fields if f.dataType.simpleString() == "boolean"}
+
+    def number(f) -> Column:
+        if f.name not in ("latitude", "longitude"):
+            return F.col(f.name).cast(f.dataType)
+        return F.lit(None).cast(f.dataType) if f.name in boolean else F.col(f.name).try_cast(f.dataType)  # a boolean is no number
+
     columns = [(named[f.name].cast(f.dataType) if f.name in named else number(f) if f.name in records.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema().fields]
     return records.select(*columns)
 

@@ -17,7 +17,7 @@ _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
-SCHEMA = "deck string, slide int, picture int, name string, text string, crop_left double, crop_top double, crop_right double, crop_bottom double, sha1 string, content binary"
+SCHEMA = "deck string, slide int, picture int, name string, text string, crop_left double, crop_top double, crop_right double, crop_bottom double, sha1 string, content binary, error string"
 
 
 def pictures_of(deck: bytes) -> Iterator[tuple]:
@@ -45,13 +45,16 @@ def pictures_of(deck: bytes) -> Iterator[tuple]:
 
 
 def read_slides(spark: SparkSession, path: str) -> DataFrame:
-    """A row per picture of every deck at ``path``; one deck at a time is held in memory."""
+    """A row per picture of every deck at ``path``; one deck at a time is held in memory. A broken deck ends with a row that holds its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for deck, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                for slide, k, name, text, crop, sha1, data in pictures_of(content.as_py()):
-                    yield pa.RecordBatch.from_pylist([{"deck": deck, "slide": slide, "picture": k, "name": name, "text": text, "crop_left": crop[0], "crop_top": crop[1], "crop_right": crop[2], "crop_bottom": crop[3], "sha1": sha1, "content": data}], schema=_arrow())
+                try:
+                    for slide, k, name, text, crop, sha1, data in pictures_of(content.as_py()):
+                        yield pa.RecordBatch.from_pylist([{"deck": deck, "slide": slide, "picture": k, "name": name, "text": text, "crop_left": crop[0], "crop_top": crop[1], "crop_right": crop[2], "crop_bottom": crop[3], "sha1": sha1, "content": data}], schema=_arrow())
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as error:
+                    yield pa.RecordBatch.from_pylist([{"deck": deck, "error": f"{type(error).__name__}: {error}"}], schema=_arrow())
 
     decks = spark.read.format("binaryFile").option("pathGlobFilter", "*.pptx").load(path).select("path", "content")
     return decks.mapInArrow(run, SCHEMA)
