@@ -7,40 +7,15 @@ sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions import boxes, text
 from fieldbook.operators import clean, curate, dedup, experiments, frames, inference, lineage, match, metrics, records, split, stats, validate, vectors, views
 from fieldbook.plans import snapshot
+from fieldbook.plans.registry import embedded, query, rounded
 from fieldbook.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
-def embedded(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
-
-
 _V = "v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, label, v, sqrt(list_dot_product(v, v)) AS n FROM v)"
 _S = _V + ", s AS (SELECT a.id AS q, a.label AS ql, b.id AS g, b.label AS gl, round(list_dot_product(a.v, b.v) / ((a.n + 1e-12) * (b.n + 1e-12)), 12) AS s FROM u a JOIN u b ON a.id <> b.id)"
 _P = ", r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rk FROM s), h AS (SELECT q, ql, rk, row_number() OVER (PARTITION BY q ORDER BY rk) AS hit FROM r WHERE ql = gl), p AS (SELECT q, ql, avg(hit / rk) AS ap, min(rk) AS f FROM h GROUP BY q, ql), l AS (SELECT avg(ap) AS m FROM p GROUP BY ql) SELECT count(*) AS n_queries, round(avg(ap), 6) AS map, (SELECT round(avg(m), 6) FROM l) AS identity_balanced_map, round(avg((f <= 1)::INT), 6) AS cmc_1, round(avg((f <= 5)::INT), 6) AS cmc_5, round(avg((f <= 10)::INT), 6) AS cmc_10, round(avg((f <= 20)::INT), 6) AS cmc_20 FROM p"
@@ -532,7 +507,7 @@ def unlabelled_videos(spark, sf):
 def fuzzy_best_match(spark, sf):
     part = table(spark, sf, "part")
     target = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".mp4").otherwise(".jpg"))
-    missing = part.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("row_id"), target.alias("target"), F.concat(F.lit("SITE "), (F.col("p_size") % 9).cast("string")).alias("site"), F.when(F.col("p_partkey") % 2 == 0, "CAM A").otherwise("CAM B").alias("cam"))
+    missing = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("row_id"), target.alias("target"), F.concat(F.lit("SITE "), (F.col("p_size") % 9).cast("string")).alias("site"), F.when(F.col("p_partkey") % 2 == 0, "CAM A").otherwise("CAM B").alias("cam"))
     return match.match_missing(missing, _listing(spark, sf), 0.95, 0.80)
 
 
@@ -569,8 +544,4 @@ def saved_views(spark, sf):
     part = lambda i: F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (i + 1).cast("int"))
     d = F.col("doc_id")
     rows = _contents(spark, sf).select(d, F.col("quality").isNull().alias("review_required"), F.when(F.col("toxic") == 1, "ambiguous").otherwise("matched").alias("lineage_status"), part(d % 3).alias("closed_set_split"), part(d % 5 % 3).alias("open_set_split"))
-    made = None
-    for name, view in views.saved_views(rows).items():
-        one = view.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view"), "n")
-        made = one if made is None else made.unionByName(one)
-    return made
+    return stats.view_counts(rows)

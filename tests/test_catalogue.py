@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from fieldbook.plans import catalogue
+from fieldbook.plans import queries as catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

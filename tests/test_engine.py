@@ -5,6 +5,7 @@ import io
 import json
 import os
 import zipfile
+import zlib
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -206,16 +207,22 @@ def test_exports_and_files(spark, tmp_path):
     read = exports.read_export(spark, str(tmp_path))
     records = {r.relative_path: (r.source_id, r.identity, r.bboxes_body[0].bounding_box) for r in exports.terminal_records(read).collect()}
     assert records == {"data/b.png": (f"{0:024d}", "F1", [0, 0, 0.5, 0.5]), "data/a.png": (f"{1:024d}", None, [0, 0, 0.5, 0.5])}
-    assert exports.union_sources([exports.export_candidates(read), exports.export_candidates(read, 1)]).count() == 4
+    loose = exports.read_loose(spark, str(tmp_path))
+    assert exports.union_sources([exports.export_candidates(loose, "/x"), exports.export_candidates(loose, "/x", 1)]).count() == 4
+    assert exports.source_hash(spark, str(tmp_path)) == hashlib.sha256((tmp_path / "samples.json").read_bytes()).hexdigest()
     assert exports.load_dataset(spark, "export", str(tmp_path)).count() == 1
     tree = tmp_path / "images/train/cat"
     tree.mkdir(parents=True)
-    (tree / "1.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (5).to_bytes(4, "big"))
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    whole = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + bytes(5)) + chunk(b"IEND", b"")
+    (tree / "1.png").write_bytes(whole)
+    (tree / "2.PNG").write_bytes(whole[:-6])
     (tree / "notes.txt").write_text("x")
-    assert [r[:] for r in files.image_folder(spark, str(tmp_path / "images")).collect()] == [("train/cat/1.png", "train", "cat")]
-    got = files.integrity(spark, str(tree)).where("width IS NOT NULL").first()
-    assert (got.width, got.height, got.sha256) == (7, 5, hashlib.sha256((tree / "1.png").read_bytes()).hexdigest())
-    assert files.list_media(spark, str(tmp_path / "images")).count() == 1
+    assert {r[:] for r in files.image_folder(spark, str(tmp_path / "images")).collect()} == {("train/cat/1.png", "train", "cat"), ("train/cat/2.PNG", "train", "cat")}
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.integrity(spark, str(tree)).collect()}
+    assert (got["1.png"].width, got["1.png"].height, got["1.png"].sha256) == (7, 5, hashlib.sha256(whole).hexdigest())
+    assert {k: r.readable for k, r in got.items()} == {"1.png": True, "2.PNG": False, "notes.txt": True}
+    assert files.list_media(spark, str(tmp_path / "images")).count() == 2
 
 
 def deck():
@@ -231,7 +238,14 @@ def deck():
 
 def test_slides(spark, tmp_path):
     (tmp_path / "d.pptx").write_bytes(deck())
-    r = slides.read_slides(spark, str(tmp_path)).collect()
+    (tmp_path / "broken.pptx").write_bytes(b"no deck")
+    read = slides.read_slides(spark, str(tmp_path))
+    assert [r.error.split(":")[0] for r in read.where("error IS NOT NULL").collect()] == ["BadZipFile"]
+    r = read.where("error IS NULL").collect()
+    from fieldbook.plans import ingest
+
+    rows, told, broken = ingest.ingest_slides(spark, str(tmp_path))
+    assert rows.count() == 1 and told.first()[:] == (1, 1, 0) and broken.count() == 1
     assert len(r) == 1 and (r[0].name, r[0].text, r[0].crop_left, r[0].crop_top, r[0].sha1) == ("slide_002_img_01.png", "NOME: x", 0.1, 0.2, hashlib.sha1(b"bytes").hexdigest())
 
 
@@ -260,9 +274,13 @@ def test_publish_is_staged(spark, tmp_path):
         publish.publish(frame, target, publish.same_rows(5, "k"))
     with pytest.raises(ValueError):
         publish.publish(frame.limit(3), target, publish.same_rows(5, "k"), replace=True)
-    assert spark.read.parquet(target).count() == 5
+    assert publish.published(spark, target).count() == 5
     retired = publish.publish(spark.range(7).withColumnRenamed("id", "k"), target, publish.same_rows(7, "k"), replace=True)
-    assert spark.read.parquet(target).count() == 7 and spark.read.parquet(retired).count() == 5
+    assert publish.published(spark, target).count() == 7 and spark.read.parquet(retired).count() == 5
+    with publish.locked(spark, target):  # a second writer
+        with pytest.raises(FileExistsError):
+            publish.publish(frame, target, publish.same_rows(5, "k"), replace=True)
+    assert publish.published(spark, target).count() == 7 and not publish.exists(spark, f"{target}.lock")
     report = publish.snapshot_run(frame, target, "k", str(tmp_path / "reports"), dry_run=True)
     assert report.phase == "audit" and json.loads((tmp_path / "reports/latest.json").read_text())["counts"] == {"rows": 5}
     with pytest.raises(FileExistsError):
@@ -380,6 +398,76 @@ def test_whole_runs(spark, tmp_path):
     assert snapshot.metadata(rows, "jaguar_id") == {"n_samples": 1, "n_classes": 1, "splits": {}}
 
 
+def test_lineage_of_exports(spark, tmp_path):
+    """Ids under any of their names, other spellings of fields, absolute paths below and outside the export, nested and blank values."""
+    samples = [
+        {"_id": {"$oid": "a"}, "source-id": "b", "ID": "", "filepath": f"{tmp_path}/data/1.png", "Site": " north ", "SIGHTING_ID": "S1", "jaguar_id": "F1"},
+        {"SAMPLE_ID": "c", "filepath": "/far/2.png", "camera": {"x": 1}, "site": ["no"], "camera trap site": "south", "Raw_File_Path": None},
+        {"filepath": "data\\3.png", "source_media_path": "raw/3.AVI", "raw_data_path": "/base", "original_file_name": "three.png", "longitude": -1.5},
+        {"filepath": " "},
+    ]
+    (tmp_path / "samples.json").write_text(json.dumps({"samples": samples}))
+    got = {r.candidate_id: r for r in exports.export_candidates(exports.read_loose(spark, str(tmp_path)), str(tmp_path)).collect()}
+    a, b, c, d = (got[f"export0-{i}"] for i in range(4))
+    assert (a.source_ids, a.relative_path, a.source_path, a.site, a.sighting_id, a.identity) == (["a", "b"], "data/1.png", f"{tmp_path}/data/1.png", "north", "S1", "F1")
+    assert (b.source_ids, b.relative_path, b.source_path, b.site, b.filename) == (["c"], None, "/far/2.png", "south", "2.png")
+    assert (c.relative_path, c.source_path, c.filename, c.longitude, c.filenames) == ("data/3.png", "/base/raw/3.AVI", "three.png", "-1.5", ["three.png", "3.AVI", "3.png"])
+    assert (d.relative_path, d.source_path, d.source_ids, d.filename) == (None, None, [], None)
+    terminal = spark.createDataFrame([(1, None, None, "/base/raw/3.AVI", None, None), (2, "F1", "b", None, None, None)], TERMINAL)
+    told = lineage.enrich(terminal, exports.load_candidates(spark, [str(tmp_path)], []), ["site", "longitude"]).collect()
+    assert {(r.terminal_id, r.lineage_status, r.site, r.longitude) for r in told} == {(1, "matched", None, "-1.5"), (2, "matched", "north", None)}
+
+
+def test_greedy_leaders_settle_in_rounds(spark, monkeypatch):
+    """The rounds give what the loop gives, also over a chain."""
+    monkeypatch.setattr(dedup, "SETTLED_AT_ONCE", 3)
+    rng = np.random.default_rng(5)
+    edges = {(i, i + 1) for i in range(12)} | {tuple(sorted(map(int, rng.choice(40, 2, replace=False)))) for _ in range(60)}
+    want = {}
+    for i in sorted({x for e in edges for x in e}):
+        want[i] = not any(want.get(a, False) for a, b in edges if b == i)
+    got = {r.id: r.leads for r in dedup._settle(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert got == want
+
+
+def test_large_labels_fill_several_blocks(spark):
+    rng = np.random.default_rng(2)
+    x, y = np.round(rng.normal(size=(150, 4)), 1), np.where(rng.random(150) < 0.6, 0, rng.integers(1, 9, 150))
+    frame = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(150)], "id long, label int, vector array<double>")
+    got = metrics.retrieval_metrics(frame, block=20).first()
+    mean, balanced, cmc = brute_metrics(x, y)
+    assert (got.map, got.identity_balanced_map, got.cmc_1, got.cmc_5) == pytest.approx((mean, balanced, cmc[1], cmc[5]))
+
+
+def test_process_samples_frames_and_embeds(spark):
+    from fieldbook.plans import ingest
+
+    samples = spark.createDataFrame([("a", "x.jpg", [], "F1", [1.0, 0.0]), ("b", "y.jpg", [], "F1", None)], "sample_id string, filepath string, tags array<string>, label string, vector array<double>").withColumn("detections", F.lit(None).cast(boxes.DETECTIONS))
+    videos = spark.createDataFrame([(7, "v.mp4", 10.0, 10, "F2")], "sample_id long, filepath string, fps double, frame_count int, label string")
+
+    def load():
+        return lambda paths: [[0.0, 1.0] if p.startswith("frames") else [1.0, 0.01] for p in paths]
+
+    got = {r.sample_id: r for r in ingest.process(samples, ingest.Processing(similarity=0.9), videos, load).collect()}
+    assert set(got) == {"a", "b", "7-0", "7-5"}
+    assert (got["b"].is_duplicate, got["b"].duplicate_of) == (True, "a") and got["7-5"].duplicate_of == "7-0" and not got["a"].is_duplicate
+
+
+def test_curated_exports_guard_their_source(spark, tmp_path):
+    schema = f"path string, sha256 string, identity string, compatible boolean, bboxes_body {boxes.DETECTIONS}, tags array<string>"
+    source = spark.createDataFrame([("a", "1", "F11", True, [], []), ("b", "1", "F11", True, [], []), ("c", "2", None, True, [], [])], schema)
+    policy = spark.createDataFrame([], "path string, action string, reason string, box array<double>")
+    decisions, made = curate.plan(source, policy, "v1")
+    told = publish.curated_export(decisions, made, str(tmp_path / "t"), "v1", lambda: "h")
+    assert told["kept"] == 2
+    first = publish.current(spark, str(tmp_path / "t"))
+    assert json.loads(publish.read_text(spark, f"{first}/metadata.json")) == {"samples": 2, "source_sha256": "h", "version": "v1"}
+    changing = iter("xy")
+    with pytest.raises(RuntimeError):
+        publish.curated_export(decisions, made, str(tmp_path / "t"), "v2", lambda: next(changing))
+    assert publish.current(spark, str(tmp_path / "t")) == first
+
+
 def test_records(spark):
     from fieldbook.operators import records
 
