@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from fieldbook.llm.common import documents_of, fresh, per_text
 
 MARK = "▁"
-#: Distinct units, and pairs of pieces, that a task remembers at most.
+#: Distinct units, and pairs of pieces, that a worker remembers at most.
 REMEMBERED = 300_000
 
 #: SentencePiece's types of pieces and models, as the format numbers them.
@@ -55,6 +55,11 @@ class Pieces:
         self.unknown_score = min(p.score for p in proto.pieces if p.type == _NORMAL) - 10
         self.bytes_ = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.longest = max(map(len, self.ids), default=1)
+        #: The lengths, from 3 on, that pieces ending in these three characters have, longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for n in sorted({len(p) for p in self.ids if len(p) > 2}, reverse=True):
+            for tail in {p[-3:] for p in self.ids if len(p) == n}:
+                self.lengths.setdefault(tail, []).append(n)
         self.surfaces = [b"" if p.type == _CONTROL else proto.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         alone = re.escape("".join(c for c in "\n\t\r" if not any(c in piece for piece in self.ids)))
         self.units = re.compile(f"{MARK}+[^{MARK}{alone}]*|[{alone}]|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -66,7 +71,7 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes units; one for each task."""
+    """Encodes units; one for each Python worker, see :func:`encoder_of`."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -102,7 +107,7 @@ class Encoder:
 
     def _bpe_units(self, units: list[str]) -> Iterator[list[tuple[int, int, int]]]:
         """For each sorted unit its forward states: by prefix length, (start of the last piece, its id or -1)."""
-        ids, longest, pairs = self.pieces.ids, self.pieces.longest, self.pairs
+        ids, lengths, pairs = self.pieces.ids.get, self.pieces.lengths.get, self.pairs.get
         before, states = "", [(0, -1)]
         for unit in units:
             same, most = 0, min(len(before), len(unit))
@@ -110,13 +115,16 @@ class Encoder:
                 same += 1
             del states[same + 1 :]
             for end in range(same + 1, len(unit) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = ids.get(unit[start:end])
+                for n in (*lengths(unit[end - 3 : end], ()), 2, 1) if end > 2 else range(end, 0, -1):
+                    start = end - n
+                    if start < 0:
+                        continue
+                    piece = ids(unit[start:end])
                     if piece is None:
                         continue
                     # After an unknown character, as at the start, nothing can merge to the left.
                     left = states[start][1]
-                    stays = pairs.get((left, piece))
+                    stays = pairs((left, piece))
                     if stays if stays is not None else self._stay(left, piece):
                         states.append((start, piece))
                         break
@@ -172,11 +180,20 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, units)), np.int32) for units in cut]
 
 
+def encoder_of(pieces: Pieces) -> Encoder:
+    """The encoder of a broadcast vocabulary: tasks of one worker share it, and what it has learned."""
+    if not hasattr(pieces, "encoder"):
+        pieces.encoder = Encoder(pieces)
+    return pieces.encoder
+
+
 def decoder(pieces: Pieces) -> Callable[[list], list[str]]:
-    """The function from lists of ids to texts; null decodes to the empty text, broken UTF-8 to replacement characters."""
+    """The function from arrays of ids to texts; null decodes to the empty text, broken UTF-8 to replacement characters."""
+
+    surface = pieces.surfaces.__getitem__
 
     def decode(rows: list) -> list[str]:
-        joined = (b"".join(pieces.surfaces[i] for i in ids) if ids is not None else b"" for ids in rows)
+        joined = (b"".join(map(surface, ids.tolist())) if ids is not None else b"" for ids in rows)
         return [(raw[1:] if pieces.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace") for raw in joined]
 
     return decode
@@ -197,7 +214,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", into: str =
     shared = load(docs.sparkSession, model_file)
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         return lambda texts: [encoder.encode(texts)]
 
     into = fresh(into, docs.columns)
@@ -234,7 +251,7 @@ def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = load(spark, model)
 
     def make():
-        encoder, back = Encoder(shared.value), decoder(shared.value)
+        encoder, back = encoder_of(shared.value), decoder(shared.value)
 
         def work(texts: list[str | None]) -> list[list]:
             ids = encoder.encode(texts)
