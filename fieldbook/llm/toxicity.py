@@ -45,7 +45,7 @@ _PASS_FOR = dict(
     )
 )
 _DIGITS = str.maketrans("0134579", "oieastg")
-_SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
+_SIGNS = str.maketrans("@$!|€", "asiie")
 #: Invisible characters, which only split words.
 _INVISIBLE = (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370))
 #: Blocks whose characters decompose to Latin letters: accents, letter-like, enclosed, full-width and mathematical ones.
@@ -64,7 +64,7 @@ def _table() -> dict[int, str | None]:
 
 _FOLD = _table()
 _LETTER = r"[^\W\d_]"
-_INSIDE = re.compile(rf"(?<={_LETTER})[@$!|€](?=\w)|(?<=\w)[@$!|€](?={_LETTER})")
+_INSIDE = re.compile(rf"(?<={_LETTER})[@$!|€]+(?=\w)|(?<=\w)[@$!|€]+(?={_LETTER})")
 _TOUCHING = re.compile(rf"(?<={_LETTER})[0-9]+|[0-9]+(?={_LETTER})")
 _WORD = re.compile(f"{_LETTER}+")
 
@@ -72,8 +72,7 @@ _WORD = re.compile(f"{_LETTER}+")
 def fold(text: str | None) -> str:
     """Lower case, with look-alikes replaced; null folds to the empty text."""
     text = (text or "").lower()
-    if any(sign in text for sign in _SIGNS):
-        text = _INSIDE.sub(lambda m: _SIGNS[m[0]], text)
+    text = _INSIDE.sub(lambda m: m[0].translate(_SIGNS), text)
     return _TOUCHING.sub(lambda m: m[0].translate(_DIGITS), text.translate(_FOLD))
 
 
