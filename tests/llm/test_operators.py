@@ -282,7 +282,7 @@ def test_discriminant_is_the_gaussian_rule():
 def test_string_kernel_folds_to_one_product():
     texts, langs = ["the cat and the dog", "der hund und die katze", "le chien et le chat", "the bird with the fish", "die maus mit dem fisch", "la souris avec le poisson"], ["en", "de", "fr"] * 2
     model = langid.fit(texts, langs, landmarks=2)
-    assert list(model.predict(texts + ["", "123", None])[0]) == [*langs, "und", "und", "und"]
+    assert list(model.predict([*texts, "", "123", None])[0]) == [*langs, "und", "und", "und"]
     grams = [set(langid._slots(t).tolist()) for t in texts]
     kernel = [[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams]
     p = langid.presence(texts)
@@ -324,7 +324,7 @@ def test_awkward_rows_pass_everywhere(spark, awkward):
     assert licenses.scan_licenses(awkward).where("n_words = 0").count() == 8
     assert quality.score(awkward, quality.train(docs, labels), into="q").where("q between 0 and 1").count() == n
     assert toxicity.score(awkward, toxicity.train(docs, labels), into="q").where("q between 0 and 1").count() == n
-    told = langid.identify(awkward.drop("score"), langid.train(docs)).collect()
+    told = langid.identify(awkward, langid.train(docs)).collect()
     assert len(told) == n and all(r.lang_pred == "und" for r in told if not r.text or not re.search(r"[^\W\d_]", r.text))
 
 
