@@ -7,6 +7,7 @@ import io
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -150,3 +151,32 @@ def with_leaders(members: DataFrame, key: str, node: str, order: Column) -> Data
     """``members`` with ``leader``, the least ``order`` of their key, of keys with more than one member."""
     leaders = materialize(members.groupBy(key).agg(F.min(order).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
     return salted_join(members, key, node, leaders.drop("n"), leaders)
+
+
+def runs_in(texts: pa.Array, is_part: Callable[[np.ndarray], np.ndarray], lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The maximal runs of bytes that ``is_part`` marks, none across two texts, and the place of each run's text.
+
+    A-Z are lower-cased first unless ``lower`` is off; no other character is. The
+    work is done on the column's bytes at once, without a Python object a run.
+    """
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if lower:
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    part = is_part(data)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets[:-1]] = True
+    before, after = np.concatenate([[False], part[:-1]]) if len(part) else part, np.concatenate([part[1:], [False]]) if len(part) else part
+    starts, ends = np.flatnonzero(part & (~before | edge[:-1])), np.flatnonzero(part & (~after | edge[1:])) + 1
+    ends_at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    runs = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends_at), pa.py_buffer(np.ascontiguousarray(data[part])))
+    return runs, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def pair_counts(place: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes, places and numbers of occurrences of the distinct pairs, ordered by code and then place."""
+    width = int(place.max(initial=-1)) + 1
+    keys, counts = np.unique(code.astype(np.int64) * width + place, return_counts=True)
+    return keys // max(width, 1), keys % max(width, 1), counts

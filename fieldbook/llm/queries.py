@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import exact_dedup, langid, licenses, media, mixing, near_dedup, quality, sentencepieces, token_counts, toxicity
+from fieldbook.llm import exact_dedup, langid, lexical, licenses, media, mixing, near_dedup, quality, sentencepieces, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_lexical_search": lexical.op11_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": licenses.OP4_SQL,
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
 }
