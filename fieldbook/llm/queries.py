@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import exact_dedup, langid, lexical, licenses, media, mixing, near_dedup, quality, sentencepieces, token_counts, toxicity
+from fieldbook.llm import exact_dedup, langid, lexical, licenses, media, mixing, near_dedup, personal_data, quality, sentencepieces, spelling, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
     "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_lexical_search": lexical.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
+    "op13_personal_data": personal_data.OP13_SQL,
 }
