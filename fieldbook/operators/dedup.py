@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.text import identities_compatible
-from fieldbook.operators.vectors import similar_edges
+from fieldbook.operators.near_blocks import first_edges, neighbour_counts
 from fieldbook.session import materialize
 
 
@@ -19,19 +19,28 @@ def unmark(samples: DataFrame, tag: str = "duplicate") -> DataFrame:
     return samples.withColumns({"is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("long"), "duplicate_similarity": F.lit(None).cast("double"), "tags": F.array_remove("tags", tag)})
 
 
-#: Edges among unsettled rows that one task settles row by row.
-SETTLED_AT_ONCE = 1_000_000
+#: Edges among unsettled rows that one task settles row by row; earlier neighbours that a row keeps of each block near it.
+SETTLED_AT_ONCE, FIRST = 1_000_000, 16
 
 
 def _settle(edges: DataFrame) -> DataFrame:
-    """(id, leads) of all ends of ``edges`` (a < b), by rounds that drop what is settled; the last edges are settled in one task."""
+    """(id, leads) of all ends of ``edges`` (a, b; a <= b), null where the edges don't tell.
+
+    An edge from a row to itself stands for earlier neighbours that are not
+    listed: unless a leader is found for the row, it stays open, and so may what
+    follows it. Rounds drop what is settled, until few edges are left, which one
+    task settles.
+    """
     done: list[DataFrame] = []
     while True:
         if edges.limit(SETTLED_AT_ONCE + 1).count() <= SETTLED_AT_ONCE:
             done.append(materialize(edges.coalesce(1).mapInPandas(_in_order, "id long, leads boolean"), "leaders"))
             break
         ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        first = ends.join(edges.select(F.col("b").alias("id")), "id", "left_anti")  # no earlier neighbour is left
+        first = materialize(ends.join(edges.select(F.col("b").alias("id")), "id", "left_anti"), "leaders")  # no earlier neighbour is left
+        if first.isEmpty():
+            done.append(materialize(ends.withColumn("leads", F.lit(None).cast("boolean")), "leaders"))
+            break
         led = edges.join(first.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
         settled = materialize(first.withColumn("leads", F.lit(True)).unionByName(led.withColumn("leads", F.lit(False))), "leaders")
         done.append(settled)
@@ -54,29 +63,49 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a, b = edges["a"].to_numpy(np.int64), edges["b"].to_numpy(np.int64)
     order = np.argsort(b, kind="stable")
     a, b = a[order], b[order]
-    leads = dict.fromkeys(np.unique(np.concatenate([a, b])).tolist(), True)
+    leads: dict[int, bool | None] = dict.fromkeys(np.unique(np.concatenate([a, b])).tolist(), True)
     cuts = [*np.flatnonzero(np.diff(b, prepend=b[:1] - 1)), len(b)]
     for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-        leads[int(b[start])] = not any(leads[x] for x in a[start:stop].tolist())
-    yield pd.DataFrame({"id": list(leads), "leads": list(leads.values())}).astype({"id": "int64", "leads": "bool"})
+        row = int(b[start])
+        before = [None if x == row else leads[x] for x in a[start:stop].tolist()]
+        leads[row] = False if any(before) else None if None in before else True
+    yield pd.DataFrame({"id": np.array(list(leads), np.int64), "leads": pd.array(list(leads.values()), "boolean")})
+
+
+def _with_loops(edges: DataFrame) -> DataFrame:
+    """(a, b) of first edges, and (b, b) for rows that have more earlier neighbours than were listed."""
+    return edges.select("a", "b").unionByName(edges.where("more").select(F.col("b").alias("a"), "b").distinct())
 
 
-def greedy_leaders(vectors: DataFrame, least: float) -> DataFrame:
+def greedy_leaders(vectors: DataFrame, least: float, first: int = FIRST) -> DataFrame:
     """(id, is_duplicate, duplicate_of, duplicate_similarity) for (id, vector), going through the rows by id.
 
     A row is a leader unless an earlier leader is similar; it then is a duplicate
-    of the first such leader. Rows without an unsettled earlier neighbour are
-    leaders and settle their later neighbours, round by round, until few edges
-    are left. Equal vectors are settled once, as their first row. Null vectors
-    are left out before positions are taken.
+    of the first such leader. Each row lists its ``first`` earlier neighbours in
+    each block, not all pairs of a dense group; rows that these leave open are
+    held against the leaders and each other again. Equal vectors are settled once, as
+    their first row. Null vectors are left out before positions are taken.
     """
     rows = vectors.where("vector IS NOT NULL").select("id", "vector")
     equal = materialize(rows.groupBy("vector").agg(F.min("id").alias("first")), "equal-vectors")
     members = rows.join(equal, "vector").select("id", "first")
-    edges = materialize(similar_edges(equal.select(F.col("first").alias("id"), "vector"), least), "edges")
-    state = _settle(edges.select("a", "b"))
-    first = edges.join(state.where("leads").select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("best"))
-    led = state.where("NOT leads").join(first.withColumnRenamed("b", "of"), F.col("id") == F.col("of")).select(F.col("id").alias("first"), F.col("best.a").alias("leader"), F.col("best.similarity").alias("s"))
+    ids = equal.select(F.col("first").alias("id"), "vector")
+    edges = materialize(first_edges(ids.withColumns({"target": F.lit(True), "source": F.lit(True)}), least, first), "edges")
+    state = materialize(_settle(materialize(_with_loops(edges), "edges")), "states")  # rows that it lacks lead
+    while not (opened := state.where("leads IS NULL").select("id")).isEmpty():
+        held = ids.join(state.where("NOT leads").select("id"), "id", "left_anti").join(opened.withColumn("target", F.lit(True)), "id", "left")
+        again = materialize(_with_loops(first_edges(held.select("id", "vector", F.coalesce("target", F.lit(False)).alias("target"), F.lit(True).alias("source")), least, first)), "edges")
+        told = opened.join(_settle(again).withColumn("seen", F.lit(True)), "id", "left").select("id", F.when(F.col("seen").isNull(), True).otherwise(F.col("leads")).alias("leads"))
+        state = materialize(state.where("leads IS NOT NULL").unionByName(told), "states")
+    followers = state.where("NOT leads").select("id")
+    cut = followers.join(edges.where("more").select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    led = edges.join(followers.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b", "similarity")
+    if not cut.isEmpty():  # a leader before the listed ones is looked for among the leaders alone
+        held = ids.join(followers, "id", "left_anti").withColumns({"target": F.lit(False), "source": F.lit(True)})
+        sought = ids.join(cut, "id").withColumns({"target": F.lit(True), "source": F.lit(False)})
+        led = led.unionByName(first_edges(held.unionByName(sought), least, 1).select("a", "b", "similarity"))
+    best = led.groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("best"))
+    led = followers.join(best.withColumnRenamed("b", "of"), F.col("id") == F.col("of")).select(F.col("id").alias("first"), F.col("best.a").alias("leader"), F.col("best.similarity").alias("s"))
     out = members.join(led, "first", "left")
     duplicate = F.col("leader").isNotNull() | (F.col("id") != F.col("first"))
     return out.select("id", duplicate.alias("is_duplicate"), F.when(duplicate, F.coalesce("leader", "first")).alias("duplicate_of"), F.when(duplicate, F.coalesce("s", F.lit(1.0))).alias("duplicate_similarity"))
@@ -84,11 +113,8 @@ def greedy_leaders(vectors: DataFrame, least: float) -> DataFrame:
 
 def leaky_splits(vectors: DataFrame, least: float) -> DataFrame:
     """(id, split, n_leaks): rows of (id, vector, split) with similar rows in other splits, and how many."""
-    pairs = similar_edges(vectors, least)
-    of = vectors.select("id", "split")
-    both = pairs.join(of.toDF("a", "split_a"), "a").join(of.toDF("b", "split_b"), "b").where("split_a <> split_b")
-    ends = both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("split_a").alias("split")), F.struct(F.col("b").alias("id"), F.col("split_b").alias("split")))).alias("e")).select("e.*")
-    return ends.groupBy("id", "split").agg(F.count(F.lit(1)).alias("n_leaks"))
+    found = neighbour_counts(vectors, least, apart="split").where("n_links > 0")
+    return found.join(vectors.select("id", "split"), "id").select("id", "split", F.col("n_links").alias("n_leaks"))
 
 
 def content_hash(content: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldbook.operators.similarity_index import ranked
 from fieldbook.operators.vectors import blocks_of, over_block_pairs, unit_matrix
 
 
@@ -64,8 +65,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) ->
         return made[np.isfinite(made["similarity"])].astype(empty)
 
     pairs = over_block_pairs(left, right, n_left, n_right, best, "query long, id long, similarity double")
-    kept = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "id"))), 1, k).alias("best"))
-    return kept.select("query", F.posexplode("best").alias("pos", "b")).select("query", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.far")).alias("similarity"))
+    return ranked(pairs, k)
 
 
 def accuracy(rows: DataFrame, scores: str, label: str) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions import boxes, text
-from fieldbook.operators import clean, curate, dedup, experiments, frames, inference, lineage, match, metrics, records, split, stats, validate, vectors, views
+from fieldbook.operators import clean, curate, dedup, experiments, frames, inference, lineage, match, metrics, near_blocks, records, similarity_index, split, stats, validate, vectors, views
 from fieldbook.plans import snapshot
 from fieldbook.plans.registry import embedded, query, rounded
-from fieldbook.session import table
+from fieldbook.session import materialize, table
 
 _V = "v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, label, v, sqrt(list_dot_product(v, v)) AS n FROM v)"
 _S = _V + ", s AS (SELECT a.id AS q, a.label AS ql, b.id AS g, b.label AS gl, round(list_dot_product(a.v, b.v) / ((a.n + 1e-12) * (b.n + 1e-12)), 12) AS s FROM u a JOIN u b ON a.id <> b.id)"
@@ -39,7 +39,7 @@ def retrieval_cmc_all_queries(spark, sf):
 
 @query(f"WITH {_S} SELECT q AS id, count(*) FILTER (s >= 0.25) AS n_links, arg_min(g, (-s, g)) FILTER (s >= 0.25) AS nearest, round(max(s) FILTER (s >= 0.25), 6) AS similarity FROM s GROUP BY q")
 def similar_neighbours(spark, sf):
-    return rounded(vectors.neighbour_counts(embedded(spark, sf), 0.25), "similarity")
+    return rounded(near_blocks.neighbour_counts(embedded(spark, sf), 0.25), "similarity")
 
 
 @query(
@@ -52,6 +52,35 @@ def near_dup_greedy(spark, sf):
     return rounded(dedup.greedy_leaders(embedded(spark, sf), 0.25), "duplicate_similarity")
 
 
+def _document_vectors(spark, sf):
+    """(id, vector): words of a document counted in 64 hashed places, half of the words negatively; documents without words have none."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    digest = F.md5("word")
+    placed = words.select("doc_id", (F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % 64).alias("place"), F.when(F.substring(digest, 3, 1) < "8", 1).otherwise(-1).alias("sign"))
+    sums = placed.groupBy("doc_id").agg(*[F.sum(F.when(F.col("place") == i, F.col("sign")).otherwise(0)).cast("double").alias(f"x{i}") for i in range(64)])
+    return materialize(sums.select(F.col("doc_id").alias("id"), F.array(*[f"x{i}" for i in range(64)]).alias("vector")), "document-vectors")
+
+
+_D = r"d AS (SELECT doc_id, md5(unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS h FROM documents), e AS (SELECT doc_id, ('0x' || substr(h, 1, 2))::INT % 64 AS place, sum(CASE WHEN substr(h, 3, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS x FROM d GROUP BY 1, 2), g AS (SELECT doc_id, p AS place, 0::DOUBLE AS x FROM (SELECT DISTINCT doc_id FROM e) i, range(64) r(p)), v AS (SELECT doc_id AS id, list(x ORDER BY place) AS v FROM (SELECT doc_id, place, sum(x) AS x FROM (SELECT * FROM e UNION ALL SELECT * FROM g) y GROUP BY 1, 2) k GROUP BY 1), u AS MATERIALIZED (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v), s AS (SELECT a.id AS q, b.id AS g, list_dot_product(a.v, b.v) / ((a.n + 1e-12) * (b.n + 1e-12)) AS s FROM u a JOIN u b ON a.id < b.id)"
+
+
+@query(
+    f"WITH RECURSIVE {_D}, e2 AS MATERIALIZED (SELECT q AS a, g AS b, s FROM s WHERE s >= 0.98), o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k, coalesce(ns, []) AS ns FROM u LEFT JOIN (SELECT b, list(a) AS ns FROM e2 GROUP BY b) ON b = id), "
+    "w(k, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN list_has_any(w.leaders, o.ns) THEN w.leaders ELSE list_append(w.leaders, o.id) END FROM w JOIN o ON o.k = w.k + 1), "
+    "f AS MATERIALIZED (SELECT unnest(arg_max(leaders, k)) AS leader FROM w), x AS (SELECT b, min(a) AS duplicate_of, arg_min(s, a) AS s FROM e2 JOIN f ON a = leader WHERE b NOT IN (SELECT leader FROM f) GROUP BY b) "
+    "SELECT id, b IS NOT NULL AS is_duplicate, duplicate_of, round(s, 6) AS duplicate_similarity FROM u LEFT JOIN x ON b = id"
+)
+def document_near_dups(spark, sf):
+    return rounded(dedup.greedy_leaders(_document_vectors(spark, sf), 0.98), "duplicate_similarity")
+
+
+@query()
+def near_dup_pruning(spark, sf):
+    """How much of all pairs of blocks an exact search for near duplicates compares."""
+    found = near_blocks.near_blocks(_document_vectors(spark, sf), 0.98)
+    return spark.createDataFrame([(found.n_blocks, found.n_pairs, round(found.share, 6))], "n_blocks long, n_pairs long, share double")
+
+
 _CLOSED = "first AS (SELECT label, arg_min(id, (md5('42o:' || id), id)) AS first_id FROM u GROUP BY label), c AS (SELECT u.id, u.label, CASE WHEN id = first_id THEN 'train' WHEN md5('42:' || id) < 'cccccccd' THEN 'train' WHEN md5('42:' || id) < 'e6666666' THEN 'val' ELSE 'test' END AS closed_set_split FROM u JOIN first USING (label))"
 
 
@@ -518,6 +547,32 @@ def nearest_neighbours(spark, sf):
     return rounded(found.withColumn("rank", F.col("rank").cast("long")), "similarity")
 
 
+#: The index's rule in SQL: centres drawn by a hash, each row in two cells, each query in twenty.
+_INDEX = _V + ", z AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / (n + 1e-12)) AS z FROM u), c AS MATERIALIZED (SELECT z AS centre, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS cell FROM z QUALIFY cell < (SELECT ceil(sqrt(count(*))) FROM z)), a AS MATERIALIZED (SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY round(list_dot_product(z, centre), 12) DESC, cell) AS place FROM z, c), m AS MATERIALIZED (SELECT q.id AS q, r.id AS g FROM a q JOIN a r ON q.cell = r.cell AND q.place <= 20 AND r.place <= 2 AND q.id % 50 = 0), f AS MATERIALIZED (SELECT q, g, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rank FROM (SELECT DISTINCT q, g FROM m WHERE q <> g) d JOIN (SELECT q, g, s FROM s) e USING (q, g))"
+_INDEX = _INDEX.replace(", z AS", _S.removeprefix(_V) + ", z AS", 1)
+
+
+def _searched(spark, sf):
+    rows = embedded(spark, sf)
+    index = similarity_index.build(rows)
+    queries = rows.where("id % 50 = 0")
+    return index, queries, rows
+
+
+@query(f"WITH {_INDEX} SELECT q AS query, rank, g AS id, round(s, 6) AS similarity FROM f WHERE rank <= 10")
+def index_neighbours(spark, sf):
+    index, queries, _ = _searched(spark, sf)
+    return rounded(similarity_index.search(index, queries, 10).withColumn("rank", F.col("rank").cast("long")), "similarity")
+
+
+@query(f"WITH {_INDEX}, x AS (SELECT q, g, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rank FROM s WHERE q % 50 = 0) SELECT count(DISTINCT x.q) AS n_queries, round(avg((f.q IS NOT NULL)::INT), 6) AS recall, round((SELECT count(*) FROM m) / (SELECT count(*) FROM u WHERE id % 50 = 0), 6) AS mean_compared FROM x LEFT JOIN (SELECT q, g FROM f WHERE rank <= 10) f ON x.q = f.q AND x.g = f.g WHERE x.rank <= 10")
+def index_recall(spark, sf):
+    index, queries, rows = _searched(spark, sf)
+    quality = similarity_index.recall(similarity_index.search(index, queries, 10), inference.top_k(queries, rows, 10))
+    mean = similarity_index.compared(index, queries).agg(F.avg("n").alias("mean_compared"))
+    return rounded(quality.crossJoin(mean), "recall", "mean_compared")  # one row each
+
+
 @query(f"WITH {_LOGITS} SELECT count(*) AS n, round(100 * avg((list_position(z, list_max(z)) - 1 = y)::INT), 6) AS accuracy FROM x")
 def classification_accuracy(spark, sf):
     return rounded(inference.accuracy(_logits(spark, sf), "z", "y"), "accuracy")
