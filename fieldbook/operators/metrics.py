@@ -1,114 +1,148 @@
 """Retrieval metrics and losses.
 
 Ranking a gallery for each query needs only the places of its positives, and how
-many positives stand before each. Rows of a label are dealt to one block (those
-of a large label to several), so a task has a block of queries, the block of
-their positives, and a block of the gallery, and counts for each positive the
-gallery's rows before it. No ranking and no list of pairs exists anywhere else.
+many positives stand before each. Rows of a label lie in one block, so a task has a
+block of queries with all their positives and a block of the gallery, and counts for
+each positive the gallery's rows before it; counts are added up by partial
+aggregation. A label too large for a block can't lie in one: its queries' ordered
+similarities leave the tasks as runs, cut at bounds of similarity, and the runs of
+a query between two bounds are merged. No task and no row holds a whole ranking.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.operators.vectors import n_blocks, unit_matrix
+from fieldbook.operators.vectors import over_block_pairs, unit_matrix
 from fieldbook.session import materialize
 
 CMC_AT = (1, 5, 10, 20)
-
-
-def _label_blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
-    """``rows`` with their block; (of, first, last), the blocks that share labels with a block; and the number of blocks.
-
-    Labels are dealt by hash into as many blocks as the rows need; a label with
-    more rows than a block takes blocks of its own.
-    """
-    n = n_blocks(rows, block)
-    share = max(1, min(block, -(-rows.count() // n)))
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * share).select(F.col("label").alias("of"), F.ceil(F.col("n") / share).cast("int").alias("own"))
-    large = sizes.collect()  # at most half as many as there are blocks
-    first, plan = n, []
-    for r in sorted(large, key=lambda r: str(r["of"])):
-        plan.append((r["of"], first, r["own"]))
-        first += r["own"]
-    kind = rows.schema["label"].dataType.simpleString()
-    own = rows.sparkSession.createDataFrame(plan, f"of {kind}, first int, own int")
-    placed = rows.join(F.broadcast(own), F.col("label").eqNullSafe(F.col("of")), "left")
-    at = F.coalesce(F.col("first") + F.pmod(F.xxhash64("id"), F.col("own")), F.pmod(F.xxhash64("label"), F.lit(n))).cast("int")
-    kin = [(i, i, i) for i in range(n)] + [(first + i, first, first + own - 1) for _, first, own in plan for i in range(own)]
-    return placed.withColumn("block", at).drop("of", "first", "own"), rows.sparkSession.createDataFrame(kin, "of int, first int, last int"), first
-
-
-def _before(ordered: np.ndarray, order: np.ndarray, ids: np.ndarray, s: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """How many of a ranking (falling similarity negated, ties by id) stand before each of (s, names)."""
-    low, high = np.searchsorted(ordered, -s, "left"), np.searchsorted(ordered, -s, "right")
-    count = low.copy()
-    for k in np.flatnonzero(high > low):
-        count[k] += np.searchsorted(ids[order[low[k] : high[k]]], names[k])
-    return count
-
-
-def query_precision(vectors: DataFrame, block: int = 2048, best_only: bool = False) -> DataFrame:
-    """(query, label, ap, first) of (id, label, vector): average precision, and the rank of the first positive, of queries that have one.
-
-    The gallery is all other rows, by falling cosine, ties by id. Similarities
-    are rounded to 12 places so that ties are ties whatever the summation order.
-    ``best_only`` looks at each query's best positive alone: ``first`` is the
-    same, ``ap`` has no meaning.
-    """
-    rows, kin, n = _label_blocks(vectors.where("vector IS NOT NULL").select("id", "label", "vector"), block)
-    rows = materialize(rows, "ranked-vectors")
-    kin = F.broadcast(kin)
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = ["id", "label", "vector", "role", "i", "k", "j"]
-    own = rows.join(kin, F.col("block") == F.col("of"))
-    queries = own.withColumns({"role": F.lit(0), "i": F.col("block"), "k": F.explode(F.sequence("first", "last"))}).withColumn("j", every).select(*cells)
-    positives = own.withColumns({"role": F.lit(1), "k": F.col("block"), "i": F.explode(F.sequence("first", "last"))}).where("i <> k").withColumn("j", every).select(*cells)
-    pairs = F.broadcast(kin.select(F.col("of").alias("i"), F.explode(F.sequence("first", "last")).alias("k")))
-    gallery = rows.withColumns({"role": F.lit(2), "j": F.col("block")}).crossJoin(pairs).select(*cells)
-
-    def count(cell: pd.DataFrame) -> pd.DataFrame:
-        parts = [cell[cell["role"] == r].sort_values("id") for r in (0, 1, 2)]
-        q, p, g = parts[0], parts[1] if cell["i"].iloc[0] != cell["k"].iloc[0] else parts[0], parts[2]
-        out: dict[str, list] = {"query": [], "k": [], "before": [], "hits": []}
-        if len(q) and len(p):
-            ids, names = g["id"].to_numpy(), p["id"].to_numpy()
-            mine, theirs = q["id"].to_numpy(), q["label"].to_numpy()
-            unit = unit_matrix(q)
-            s = np.round(unit @ unit_matrix(g).T, 12) if len(g) else np.zeros((len(q), 0))
-            s[mine[:, None] == ids[None]] = -np.inf
-            order = np.argsort(-s, axis=1, kind="stable")
-            to_p = np.round(unit @ unit_matrix(p).T, 12)
-            p_labels, g_labels = p["label"].to_numpy(), g["label"].to_numpy()
-            for x in range(len(q)):
-                at = np.flatnonzero((p_labels == theirs[x]) & (names != mine[x]))
+#: Similarities of one query that are merged together, about; vectors drawn to place the bounds between them.
+MERGED, DRAWN = 65_536, 512
+
+
+def _sorted_similarities(queries: pd.DataFrame, gallery: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities rounded to 12 places, so that ties are ties whatever the summation order, a row to itself -inf; and the gallery's ids."""
+    ids = gallery["id"].to_numpy()
+    s = np.round(unit_matrix(queries) @ unit_matrix(gallery).T, 12)
+    s[queries["id"].to_numpy()[:, None] == ids[None]] = -np.inf
+    return s, ids
+
+
+def _before(s: np.ndarray, ids: np.ndarray, marks: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """How many of a row's similarities ``s``, of ``ids`` in rising order, stand before each of (marks, names): higher, or equal with a lesser id."""
+    order = np.argsort(-s, kind="stable")
+    ranked = -s[order]
+    low, high = np.searchsorted(ranked, -marks, "left"), np.searchsorted(ranked, -marks, "right")
+    for k in np.flatnonzero(high > low):  # ties
+        low[k] += np.searchsorted(ids[order[low[k] : high[k]]], names[k])
+    return low
+
+
+def _counted(queries: DataFrame, gallery: DataFrame, n_left: int, n_right: int, best_only: bool) -> DataFrame:
+    """(query, positive, before, hits): for each query and each of its positives (or the best), all in its block, the gallery's rows before it, and how many are positives."""
+
+    def work(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        q, g = q.sort_values("id", ignore_index=True), g.sort_values("id", ignore_index=True)
+        out: list[list] = [[], [], [], []]
+        if len(q) and len(g):
+            s, ids = _sorted_similarities(q, g)
+            own, names = _sorted_similarities(q, q)
+            labels, theirs = q["label"].to_numpy(), g["label"].to_numpy()
+            members = {k: np.flatnonzero(labels == k) for k in np.unique(labels)}
+            kin = {k: np.flatnonzero(theirs == k) for k in members}
+            for x, label in enumerate(labels):
+                at = members[label][members[label] != x]
                 if not len(at):
                     continue
                 if best_only:
-                    at = at[np.argmax(to_p[x, at])][None]
-                before = _before(-s[x, order[x]], order[x], ids, to_p[x, at], names[at])
-                same = np.concatenate([[0], np.cumsum(g_labels[order[x]] == theirs[x])])
-                out["query"].append(mine[x])
-                out["k"].append(int(cell["k"].iloc[0]))
-                out["before"].append(before.tolist())
-                out["hits"].append(same[before].tolist())
-        return pd.DataFrame(out).astype({"query": "int64", "k": "int32", "before": object, "hits": object})
-
-    cell = queries.unionByName(positives).unionByName(gallery)
-    counted = cell.repartition(2 * n * n, "i", "k", "j").groupBy("i", "k", "j").applyInPandas(count, "query long, k int, before array<long>, hits array<long>")
-    lists = counted.groupBy("query", "k").agg(F.collect_list("before").alias("before"), F.collect_list("hits").alias("hits"))
-    total = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda acc, x: F.zip_with(acc, x, lambda u, v: u + v))
-    ranks = lists.select("query", total(F.col("before")).alias("before"), total(F.col("hits")).alias("hits"))
-    precision = F.zip_with("before", "hits", lambda b, h: (h + 1) / (b + 1))
-    parts = ranks.select("query", F.aggregate(precision, F.lit(0.0), lambda acc, x: acc + x).alias("sum"), F.size("before").alias("n"), (F.array_min("before") + 1).alias("first"))
-    found = parts.groupBy("query").agg((F.sum("sum") / F.sum("n")).alias("ap"), F.min("first").alias("first"))
-    return found.join(rows.select(F.col("id").alias("query"), "label"), "query").select("query", "label", "ap", "first")
-
-
-def retrieval_metrics(vectors: DataFrame, at: tuple[int, ...] = CMC_AT, block: int = 2048) -> DataFrame:
+                    at = at[[own[x, at].argmax()]]
+                same = kin[label]
+                for part, values in zip(out, (np.repeat(names[x], len(at)), names[at], _before(s[x], ids, own[x, at], names[at]), _before(s[x, same], ids[same], own[x, at], names[at])), strict=True):
+                    part.append(values)
+        return pd.DataFrame({k: np.concatenate(v).astype("int64") if v else np.zeros(0, "int64") for k, v in zip(("query", "positive", "before", "hits"), out, strict=True)})
+
+    return over_block_pairs(queries, gallery, n_left, n_right, work, "query long, positive long, before long, hits long")
+
+
+def _bounds(rows: DataFrame, n: int) -> np.ndarray:
+    """Similarities that cut a ranking of ``n`` rows into parts of about ``MERGED``, from the pairs of ``DRAWN`` rows."""
+    parts = -(-n // MERGED)
+    if parts < 2:
+        return np.zeros(0)
+    drawn = unit_matrix(rows.select("vector").orderBy(F.md5(F.col("id").cast("string")), "id").limit(DRAWN).toPandas())
+    return np.unique(np.quantile((drawn @ drawn.T)[np.triu_indices(len(drawn), 1)], np.arange(1, parts) / parts))[::-1]
+
+
+def _merged(queries: DataFrame, gallery: DataFrame, n_left: int, n_right: int) -> DataFrame:
+    """(query, sum, n, first): the sum of precisions at the query's positives, their number and the first one's rank, wherever they lie."""
+    bounds = _bounds(gallery, gallery.count())
+
+    def runs(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id", ignore_index=True)
+        out: dict[str, list] = {k: [] for k in ("query", "part", "s", "ids", "positive", "n", "hits")}
+        if len(q) and len(g):
+            s, ids = _sorted_similarities(q, g)
+            labels = g["label"].to_numpy()
+            for name, label, row in zip(q["id"], q["label"], s, strict=True):
+                order = np.argsort(-row, kind="stable")
+                order = order[row[order] > -np.inf]
+                ranked, positive = row[order], labels[order] == label
+                cuts = [0, *np.searchsorted(-ranked, -bounds, "left"), len(order)]  # a bound itself is in the lower part
+                for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if b > a:
+                        for k, v in zip(out, (name, part, ranked[a:b], ids[order[a:b]], positive[a:b], b - a, int(positive[a:b].sum())), strict=True):
+                            out[k].append(v)
+        return pd.DataFrame(out).astype({"query": "int64", "part": "int32", "n": "int64", "hits": "int64"})
+
+    made = materialize(over_block_pairs(queries, gallery, n_left, n_right, runs, "query long, part int, s array<double>, ids array<long>, positive array<boolean>, n long, hits long"), "similarity-runs")
+    sizes = made.groupBy("query", "part").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    above = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("query", "part", "hits", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits_above")).where("hits > 0")
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        s, ids, positive = (np.concatenate(rows[k].to_numpy()) for k in ("s", "ids", "positive"))
+        at = np.flatnonzero(positive.astype(bool)[np.lexsort((ids, -s))])
+        rank = rows["n_above"].iloc[0] + at + 1
+        precision = (rows["hits_above"].iloc[0] + np.arange(1, len(at) + 1)) / rank
+        return pd.DataFrame({"query": [rows["query"].iloc[0]], "sum": [precision.sum()], "n": [len(at)], "first": [int(rank[0])]})
+
+    joined = made.select("query", "part", "s", "ids", "positive").join(offsets.drop("hits"), ["query", "part"])
+    parts = joined.groupBy("query", "part").applyInPandas(merge, "query long, sum double, n long, first long")
+    return parts.groupBy("query").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def query_precision(vectors: DataFrame, block: int = 1024, best_only: bool = False) -> DataFrame:
+    """(query, label, ap, first) of (id, label, vector): average precision, and the rank of the first positive, of queries that have one.
+
+    The gallery is all other rows, by falling cosine, ties by id. Null vectors are
+    left out; null labels are one label. ``block`` bounds a block of queries, and
+    the rows of a label that lies in one; the gallery's are four times as large.
+    ``best_only`` looks at each query's best
+    positive alone where a label fits a block: ``first`` is the same, ``ap`` has
+    no meaning.
+    """
+    rows = materialize(vectors.where("vector IS NOT NULL").select("id", F.coalesce(F.col("label").cast("string"), F.lit("\0")).alias("label"), "vector"), "ranked-vectors")
+    total = rows.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_left, n_right = max(1, -(-total // block), min(-(-total // 64), 2 * cores)), max(1, -(-total // (4 * block)))
+    sizes = materialize(rows.groupBy(F.col("label").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of", (F.col("n") > block).alias("large")), "label-sizes")
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    gallery = rows.withColumn("block", deal("id", n_right))
+    asked = rows.join(sizes, F.col("label") == F.col("of")).drop("of")
+    small = _counted(asked.where("NOT large").drop("large").withColumn("block", deal("label", n_left)), gallery, n_left, n_right, best_only)
+    ranks = small.groupBy("query", "positive").agg(F.sum("before").alias("before"), F.sum("hits").alias("hits"))
+    found = ranks.groupBy("query").agg(F.sum((F.col("hits") + 1) / (F.col("before") + 1)).alias("sum"), F.count(F.lit(1)).alias("n"), (F.min("before") + 1).alias("first"))
+    if not sizes.where("large").isEmpty():
+        found = found.unionByName(_merged(asked.where("large").drop("large").withColumn("block", deal("id", n_left)), gallery, n_left, n_right))
+    told = vectors.select(F.col("id").alias("query"), "label")
+    return found.select("query", (F.col("sum") / F.col("n")).alias("ap"), "first").join(told, "query").select("query", "label", "ap", "first")
+
+
+def retrieval_metrics(vectors: DataFrame, at: tuple[int, ...] = CMC_AT, block: int = 1024) -> DataFrame:
     """One row: n_queries (with a positive), map, identity_balanced_map, cmc_<k>; of no valid query n_queries is 0 and the rest null."""
     per_query = query_precision(vectors, block)
     per_label = per_query.groupBy("label").agg(F.sum("ap").alias("ap"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= k).alias(f"c{k}") for k in at])
@@ -121,7 +155,7 @@ def with_support(vectors: DataFrame, least: int, support: DataFrame | None = Non
     return vectors.join(counts.select("label"), "label", "left_semi")
 
 
-def cmc_all_queries(vectors: DataFrame, at: tuple[int, ...] = (1, 3, 5), block: int = 2048) -> DataFrame:
+def cmc_all_queries(vectors: DataFrame, at: tuple[int, ...] = (1, 3, 5), block: int = 1024) -> DataFrame:
     """One row: cmc_<k> over all queries, the query itself standing last: for k of all rows or more, each query finds itself."""
     n = vectors.where("vector IS NOT NULL").count()
     return query_precision(vectors, block, best_only=True).agg(*[((F.lit(float(n)) if k >= n else F.count_if(F.col("first") <= k)) / F.lit(float(n)) if n else F.lit(None).cast("double")).alias(f"cmc_{k}") for k in at])

@@ -107,3 +107,29 @@ def test_one_cell_with_most_rows_is_dealt_in_blocks(spark):
     found = similarity_index.search(index, frame_of(spark, x).where("id % 7 = 0"), 3, probes=4, block=32)
     exact = inference.top_k(frame_of(spark, x).where("id % 7 = 0"), frame_of(spark, x), 3)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def ranks(x, y):
+    s = np.round(unit(x) @ unit(x).T, 12)
+    out = {}
+    for q in range(len(x)):
+        order = [g for g in np.lexsort((np.arange(len(x)), -s[q])) if g != q]
+        hits = [r + 1 for r, g in enumerate(order) if y[g] == y[q]]
+        if hits:
+            out[q] = (round(float(np.mean([(k + 1) / r for k, r in enumerate(hits)])), 9), hits[0])
+    return out
+
+
+@pytest.mark.parametrize(("block", "merged"), [(16, 25), (16, 10_000), (1024, 65_536)])
+def test_ranks_when_one_label_has_half_of_all_rows(spark, monkeypatch, block, merged):
+    """Many ties: runs are cut at bounds that equal similarities, and merged in order."""
+    monkeypatch.setattr(metrics, "MERGED", merged)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-1, 2, (130, 3)).astype(float)
+    y = np.where(rng.random(130) < 0.5, 0, rng.integers(1, 12, 130)).astype(int)
+    frame = frame_of(spark, x, label=y.tolist())
+    want = ranks(x, y)
+    got = {r["query"]: (round(r.ap, 9), r["first"]) for r in metrics.query_precision(frame, block).collect()}
+    assert got == want
+    firsts = {r["query"]: r["first"] for r in metrics.query_precision(frame, block, best_only=True).collect()}
+    assert firsts == {q: f for q, (_, f) in want.items()}
