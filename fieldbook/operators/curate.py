@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions.text import stable_id
-from fieldbook.operators.dedup import representatives
-from fieldbook.operators.validate import require_none
+from fieldbook.operators.dedup import conflicts, representatives
+from fieldbook.operators.validate import box_errors, require_none
 
 
 def check_policy(source: DataFrame, policy: DataFrame) -> DataFrame:
@@ -17,19 +17,42 @@ def check_policy(source: DataFrame, policy: DataFrame) -> DataFrame:
     return unknown.unionByName(twice)
 
 
-def decide(source: DataFrame, policy: DataFrame) -> DataFrame:
-    """Every source row (path, sha256, identity, compatible, ...) with decision, reason and keep_path.
+def valid_annotation(source: DataFrame) -> Column:
+    """Whether a row has boxes, all of them sound, and masks where there is a column of masks."""
+    boxes = F.col("bboxes_body")
+    sound = F.coalesce(F.size(boxes) > 0, F.lit(False)) & box_errors(boxes, "bboxes_body").isNull()
+    return sound & F.coalesce(F.size("segmentations_body") > 0, F.lit(False)) if "segmentations_body" in source.columns else sound
 
-    Confirmed false positives go; of equal content among the rest one row stays;
-    rows under review and clipped rows stay with that decision.
+
+def decide(source: DataFrame, policy: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Every source row (path, sha256, identity, compatible, bboxes_body, ...) with decision, reason, keep_path, group_size and kept.
+
+    Of equal content, over all rows, one row represents the group: one with a
+    ``valid`` annotation (by default :func:`valid_annotation`), then one with an
+    identity, then a compatible one, then the least path. The others go. The
+    policy acts on representatives alone: a confirmed false positive goes, and
+    its whole group with it; rows under review and clipped rows stay with that
+    decision. Actions on other rows are errors, see :func:`action_errors`.
     """
     rows = source.join(policy.select(F.col("path").alias("__p"), "action", F.col("reason").alias("action_reason"), "box"), F.col("path") == F.col("__p"), "left").drop("__p")
-    out = rows.where("action = 'false_positive'").withColumns({"keep_path": F.lit(None).cast("string"), "group_size": F.lit(1).cast("long"), "kept": F.lit(False)})
-    rest = representatives(rows.where("action IS NULL OR action <> 'false_positive'"), "sha256", F.coalesce(F.col("action") != "review", F.lit(True)), F.col("identity"), F.col("compatible"), "path")
-    every = rest.unionByName(out)
-    decision = F.when(~F.col("kept"), "drop").when(F.col("action") == "review", "review").when(F.col("action") == "clip", "clip").otherwise("keep")
-    reason = F.when(F.col("action") == "false_positive", "confirmed_false_positive").when(~F.col("kept"), "exact_content_duplicate").when(F.col("action") == "review", F.coalesce("action_reason", F.lit("review")))
-    return every.withColumns({"decision": decision, "reason": reason})
+    every = representatives(rows, "sha256", valid_annotation(source) if valid is None else valid, F.col("identity"), F.col("compatible"), "path").withColumnRenamed("kept", "represents")
+    wrong = F.coalesce(F.col("action") == "false_positive", F.lit(False))
+    kept = F.col("represents") & ~wrong
+    decision = F.when(~kept, "drop").when(F.col("action") == "review", "review").when(F.col("action") == "clip", "clip").otherwise("keep")
+    reason = F.when(~F.col("represents"), "exact_content_duplicate").when(wrong, "confirmed_false_positive").when(F.col("action") == "review", F.coalesce("action_reason", F.lit("review")))
+    return every.withColumns({"kept": kept, "decision": decision, "reason": reason}).drop("represents")
+
+
+def action_errors(decisions: DataFrame) -> DataFrame:
+    """(path, error): actions of the policy that didn't take effect, as another row represents their content."""
+    applied = F.when(F.col("action") == "false_positive", F.col("reason") == "confirmed_false_positive").otherwise(F.col("decision") == F.col("action"))
+    return decisions.where(F.col("action").isNotNull() & ~F.coalesce(applied, F.lit(False))).select("path", F.concat(F.col("action"), F.lit(" was not applied")).alias("error"))
+
+
+def annotation_errors(decisions: DataFrame, valid: Column | None = None) -> DataFrame:
+    """(path, error): kept rows without a sound annotation that are neither under review nor clipped."""
+    sound = valid_annotation(decisions) if valid is None else valid
+    return decisions.where((F.col("decision") == "keep") & ~sound).select("path", F.lit("annotation is not valid").alias("error"))
 
 
 def curated(decisions: DataFrame, version: str) -> DataFrame:
@@ -73,10 +96,18 @@ def require_counts(decisions: DataFrame, expected: dict[str, int]) -> None:
 
 
 def plan(source: DataFrame, policy: DataFrame, version: str, expected: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Decisions and curated rows, once the policy and its counts hold."""
+    """Decisions and curated rows, once the policy and its counts hold.
+
+    It fails if the policy names unknown paths, if equal content has two
+    identities, if a clipped row hasn't one detection, if a kept row's annotation
+    isn't valid, if an action wasn't applied, or if a count isn't as expected.
+    """
     require_none(check_policy(source, policy), "policy")
+    require_none(conflicts(source.withColumn("annotation", F.lit("")), "sha256", "identity", "annotation"), "identities")
     decisions = decide(source, policy)
     require_none(clip_errors(decisions), "clips")
+    require_none(annotation_errors(decisions), "annotations")
+    require_none(action_errors(decisions), "actions")
     if expected:
         require_counts(decisions, expected)
     return decisions, curated(decisions, version)

@@ -223,14 +223,24 @@ def duplicate_content_groups(spark, sf):
 
 
 _POLICY = "pol AS (SELECT path, CASE doc_id % 3 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'review' ELSE 'clip' END AS action FROM c WHERE doc_id % 40 = 7)"
-_DECIDED = f"j AS (SELECT c.*, action FROM c LEFT JOIN pol USING (path)), k AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS group_size, first_value(path) OVER (PARTITION BY sha256 ORDER BY coalesce(action = 'review', false), (identity IS NULL), NOT compatible, path) AS keep_path FROM j WHERE action IS DISTINCT FROM 'false_positive'), a AS (SELECT path, sha256, identity, action, group_size, path = keep_path AS kept FROM k UNION ALL SELECT path, sha256, identity, action, 1, false FROM j WHERE action = 'false_positive'), dec AS (SELECT *, CASE WHEN NOT kept THEN 'drop' WHEN action = 'review' THEN 'review' WHEN action = 'clip' THEN 'clip' ELSE 'keep' END AS decision, CASE WHEN action = 'false_positive' THEN 'confirmed_false_positive' WHEN NOT kept THEN 'exact_content_duplicate' WHEN action = 'review' THEN 'policy' END AS reason FROM a)"
+#: Of equal content the row with a valid annotation, then an identity, then a compatible lineage, then the least path; then the policy.
+_DECIDED = "j AS (SELECT c.*, action, doc_id % 7 <> 3 AS valid FROM c LEFT JOIN pol USING (path)), k AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS group_size, first_value(path) OVER (PARTITION BY sha256 ORDER BY NOT valid, identity IS NULL, NOT compatible, path) AS keep_path FROM j), dec AS (SELECT *, CASE WHEN path <> keep_path OR action = 'false_positive' THEN 'drop' WHEN action = 'review' THEN 'review' WHEN action = 'clip' THEN 'clip' ELSE 'keep' END AS decision, CASE WHEN path <> keep_path THEN 'exact_content_duplicate' WHEN action = 'false_positive' THEN 'confirmed_false_positive' WHEN action = 'review' THEN 'policy' END AS reason FROM k)"
 
 
 def _decisions(spark, sf):
-    rows = _contents(spark, sf).withColumns({"bboxes_body": F.array(F.struct(F.lit("d").alias("id"), F.lit("x").alias("label"), F.lit(0.9).alias("confidence"), F.array(*map(F.lit, (0.1, 0.1, 0.5, 0.5))).alias("bounding_box"))), "tags": F.array().cast("array<string>")})
+    """Decisions and curated rows; every seventh row's box reaches out of its picture."""
+    width = F.when(F.col("doc_id") % 7 == 3, 1.5).otherwise(0.5)
+    rows = _contents(spark, sf).withColumns({"bboxes_body": F.array(F.struct(F.lit("d").alias("id"), F.lit("x").alias("label"), F.lit(0.9).alias("confidence"), F.array(F.lit(0.1), F.lit(0.1), width, F.lit(0.5)).alias("bounding_box"))), "tags": F.array().cast("array<string>")})
     action = F.element_at(F.array(F.lit("false_positive"), F.lit("review"), F.lit("clip")), (F.col("doc_id") % 3 + 1).cast("int"))
     policy = rows.where("doc_id % 40 = 7").select("path", action.alias("action"), F.lit("policy").alias("reason"), F.array(*map(F.lit, (0.0, 0.0, 0.4, 0.4))).alias("box"))
-    return curate.plan(rows, policy, "v1")
+    decisions = curate.decide(rows, policy)
+    return decisions, curate.curated(decisions, "v1")
+
+
+@query(f"WITH {_C}, {_POLICY}, {_DECIDED} SELECT path, action || ' was not applied' AS error FROM dec WHERE (action = 'false_positive' AND reason <> 'confirmed_false_positive') OR (action <> 'false_positive' AND decision <> action) UNION ALL SELECT path, 'annotation is not valid' FROM dec WHERE decision = 'keep' AND NOT valid")
+def curation_errors(spark, sf):
+    decisions, _ = _decisions(spark, sf)
+    return curate.action_errors(decisions).unionByName(curate.annotation_errors(decisions))
 
 
 @query(f"WITH {_C}, {_POLICY}, {_DECIDED} SELECT path, decision, reason FROM dec")
@@ -247,7 +257,7 @@ def curation_report(spark, sf):
     return curate.report(_decisions(spark, sf)[0])
 
 
-@query(f"WITH {_C}, {_POLICY}, {_DECIDED} SELECT path, substr(sha256(('v1' || chr(0) || path)), 1, 24) AS sample_id, decision = 'review' AS review_required, CASE WHEN decision = 'review' THEN 'pending' END AS review_status, CASE WHEN decision = 'review' THEN NULL WHEN decision = 'clip' THEN 0.16::DOUBLE ELSE 0.25::DOUBLE END AS area FROM dec WHERE decision <> 'drop'")
+@query(f"WITH {_C}, {_POLICY}, {_DECIDED} SELECT path, substr(sha256(('v1' || chr(0) || path)), 1, 24) AS sample_id, decision = 'review' AS review_required, CASE WHEN decision = 'review' THEN 'pending' END AS review_status, CASE WHEN decision = 'review' THEN NULL WHEN decision = 'clip' THEN 0.16::DOUBLE WHEN NOT valid THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS area FROM dec WHERE decision <> 'drop'")
 def curated_samples(spark, sf):
     made = _decisions(spark, sf)[1]
     return made.select("path", "sample_id", "review_required", "review_status", F.round(boxes.area(F.get("bboxes_body", F.lit(0))["bounding_box"]), 6).alias("area"))

@@ -326,6 +326,27 @@ def test_curation_counts(spark):
         curate.plan(source, policy, "v1", {"kept": 4})
 
 
+def test_curation_settles_groups_before_the_policy(spark):
+    """A false positive takes its group with it, a valid annotation comes first, and actions on dropped copies are errors."""
+    schema = f"path string, sha256 string, identity string, compatible boolean, bboxes_body {boxes.DETECTIONS}, tags array<string>"
+    d, bad = ([{"id": "1", "label": "x", "confidence": 1.0, "bounding_box": [0.0, 0.0, w, 1.0]}] for w in (1.0, 2.0))
+    rows = [("a", "1", None, True, d, []), ("a2", "1", None, True, d, []), ("b", "2", "F1", True, bad, []), ("b2", "2", None, False, d, []), ("c", "3", None, True, d, []), ("c2", "3", "F2", True, d, []), ("e", "4", None, False, d, []), ("e2", "4", None, True, d, [])]
+    source, said = spark.createDataFrame(rows, schema), "path string, action string, reason string, box array<double>"
+    told = lambda policy: {r.path: (r.decision, r.reason, r.keep_path) for r in curate.decide(source, spark.createDataFrame(policy, said)).collect()}
+    got = told([("a", "false_positive", None, None), ("c", "review", "blurred", None)])
+    assert got["a"] == ("drop", "confirmed_false_positive", "a") and got["a2"] == ("drop", "exact_content_duplicate", "a")
+    assert got["b"][0] == "drop" and got["b2"] == ("keep", None, "b2") and got["c"] == ("drop", "exact_content_duplicate", "c2") and got["e2"][0] == "keep"
+    for path, action in (("c", "review"), ("a2", "false_positive"), ("b", "clip")):
+        policy = spark.createDataFrame([(path, action, "r", [0.0, 0.0, 0.5, 0.5])], said)
+        assert curate.action_errors(curate.decide(source, policy)).collect()[0][:] == (path, f"{action} was not applied")
+        with pytest.raises(ValueError, match="actions"):
+            curate.plan(source, policy, "v1")
+    with pytest.raises(ValueError, match="annotations"):
+        curate.plan(source.where("path = 'b'"), spark.createDataFrame([], said), "v1")
+    with pytest.raises(ValueError, match="identities"):
+        curate.plan(source.withColumn("identity", F.col("path")), spark.createDataFrame([], said), "v1")
+
+
 def test_vectors(spark):
     ids = spark.range(200)
     made = vectors.random_units(ids, 8)
@@ -454,8 +475,9 @@ def test_process_samples_frames_and_embeds(spark):
 
 
 def test_curated_exports_guard_their_source(spark, tmp_path):
+    d = [{"id": "1", "label": "x", "confidence": 1.0, "bounding_box": [0.0, 0.0, 1.0, 1.0]}]
     schema = f"path string, sha256 string, identity string, compatible boolean, bboxes_body {boxes.DETECTIONS}, tags array<string>"
-    source = spark.createDataFrame([("a", "1", "F11", True, [], []), ("b", "1", "F11", True, [], []), ("c", "2", None, True, [], [])], schema)
+    source = spark.createDataFrame([("a", "1", "F11", True, d, []), ("b", "1", "F11", True, d, []), ("c", "2", None, True, d, [])], schema)
     policy = spark.createDataFrame([], "path string, action string, reason string, box array<double>")
     decisions, made = curate.plan(source, policy, "v1")
     told = publish.curated_export(decisions, made, str(tmp_path / "t"), "v1", lambda: "h")
