@@ -5,7 +5,9 @@ documents and one more with probability frac(r). The last copies are rounded
 dependently: two documents with fractional probabilities move mass (words times
 probability) from one to the other, in a random direction that keeps both
 expectations, until one of them is 0 or 1; the other meets the next document.
-Mass is conserved exactly, so a source ends within one document of its target.
+Mass is conserved exactly up to the last fractional document, which is rounded by
+itself; as that is a large one as a rule, what it adds or lacks is then made up by
+small documents, drawn by a hash from each class of sizes.
 
 The rounding is a reduction tree. Documents are dealt by hash into blocks of
 about ``BLOCK``; each block folds its pairs and leaves at most one fractional
@@ -29,6 +31,8 @@ WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2.0
 BLOCK = 64
 #: A block with so many times as many is dealt again by row.
 OVERFULL = 4
+#: Documents of a source and a class of sizes (a power of two) that may make up for its last rounding.
+SPARE = 64
 
 
 def word_count(text: Column) -> Column:
@@ -91,7 +95,7 @@ def _pair(state: Column, doc: Column, seed: int, level: int) -> Column:
 
 
 def _reduce(fractional: DataFrame, seed: int, level: int, block: int) -> DataFrame:
-    """Blocks of (source, key, locator, size, p): for each the decided documents and the residual. Large documents pair first, so residuals are small.
+    """Blocks of (source, key, locator, size, p): for each the decided documents and the residual, as a rule a large one.
 
     Blocks are dealt by key. One with ``OVERFULL`` times its share, as repeated
     keys make it, is dealt again by the places of its rows.
@@ -132,13 +136,34 @@ def _copies(rows: DataFrame, weights: tuple[float, ...], share: float, most_copi
             break
     last = (_uniform(F.col("key"), F.lit(seed), F.lit(-1)) < F.col("p")).cast("int")
     decided.append(fractional.withColumns({"doc_id": F.col("key"), "more": last}).select(*out))
-    whole = decided[0]
-    for part in decided[1:]:
-        whole = whole.unionByName(part)
+    rounded = decided[1]
+    for part in decided[2:]:
+        rounded = rounded.unionByName(part)
+    whole = decided[0].unionByName(_settled(rounded, per_source.select("of", "p"), seed))
     whole = whole.join(per_source.drop("p"), F.col("source").eqNullSafe(F.col("of")))
     return whole.select("doc_id", "locator", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("int").alias("copies"))
 
 
+def _settled(rounded: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
+    """``rounded`` with some ``more`` turned, so that each source's words come as near its share ``p`` as a bounded draw of its documents allows.
+
+    From every class of sizes at most ``SPARE`` documents are drawn, by a hash;
+    the largest that still fit what is lacking (or too much) are turned first.
+    """
+    words = rounded.groupBy("source").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("more")).alias("taken")).withColumnRenamed("source", "of_words")
+    lack = words.join(per_source, F.col("of_words").eqNullSafe(F.col("of"))).select("of", (F.col("all") * F.col("p") - F.col("taken")).alias("lack"))
+    spare = rounded.join(lack, F.col("source").eqNullSafe(F.col("of"))).where((F.col("more") == (F.col("lack") < 0).cast("int")) & (F.col("size") <= F.abs("lack")))
+    drawn = Window.partitionBy("source", F.floor(F.log2("size"))).orderBy("hash", "locator")
+    spare = spare.withColumn("hash", F.xxhash64("doc_id", "locator", F.lit(seed))).withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SPARE)
+    rows = spare.groupBy("source", F.abs("lack").alias("lack")).agg(F.sort_array(F.collect_list(F.struct("size", "hash", "locator")), asc=False).alias("docs"))
+    taken = rows.schema["docs"].dataType
+    start = F.struct(F.col("lack").alias("left"), F.array().cast(taken).alias("turned"))
+    fold = F.aggregate("docs", start, lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.array_append(s["turned"], x).alias("turned"))).otherwise(s))
+    turned = materialize(rows.select(F.explode(fold["turned"]).alias("doc")).select(F.col("doc.locator").alias("turned")), "mix-turned")
+    joined = rounded.join(turned, F.col("locator") == F.col("turned"), "left")
+    return joined.withColumn("more", F.when(F.col("turned").isNull(), F.col("more")).otherwise(1 - F.col("more"))).drop("turned")
+
+
 def _sized(with_rows: DataFrame, locator: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return materialize(with_rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.col(locator).alias("locator")), "mix-sizes")
 
