@@ -9,7 +9,7 @@ from fieldbook.llm import mixing
 
 def test_targets_of_small_sources(spark):
     rng = random.Random(11)
-    rows = [(i, " ".join("w" * n), f"s{i % 5}") for i in range(300) for n in [rng.choice([1, 2, 3, 7, 20, 50]) if i % 60 > 4 else 900]]
+    rows = [(i, " ".join("w" * n), f"s{i % 5}") for i in range(300) for n in [rng.choice([1, 2, 3, 7, 20, 50]) if i % 60 > 4 else 300]]
     rows += [(1000, None, "s0"), (1001, "", None), (1002, "one", "lone"), (0, "again", "s0")]
     made = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), block=8)
     told = made.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect()
