@@ -1,18 +1,24 @@
 """Staged publication of tables and their reports.
 
 A version is written to a folder of its own below its target, read back and
-validated; then the pointer file ``CURRENT`` is replaced by one that names it,
-in one step, so a reader finds the old version or the new one and never none. The
-version it replaces stays where it is. A run that fails leaves the published
-version as it was. A lock file, made exclusively, keeps writers apart, and the
-pointer must not have changed since the run began. All paths go through Hadoop's
-file systems, so any shared store works.
+validated; then a pointer that names it is made, in one step. A writer holds a
+lease: a numbered file, made exclusively, with its owner and its expiry. A lease
+that was given back, or that a dead writer let expire, is followed by the next
+number, so nobody waits for long. Pointers carry the number of the lease under
+which they were made, and the highest number counts: a writer that wakes up after
+another has published makes a pointer that no reader follows. Old versions stay
+where they are, and a run that fails leaves the published one as it was. All paths
+go through Hadoop's file systems; the store must create a file exclusively and
+rename it in one step, as HDFS and shared POSIX folders do and plain object stores
+don't.
 """
 
 from __future__ import annotations
 
 import contextlib
 import json
+import socket
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -59,20 +65,108 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
-@contextlib.contextmanager
-def locked(spark: SparkSession, target: str):
-    """Hold ``target``'s lock file: made exclusively, removed at the end. Raises FileExistsError if another run holds it."""
-    fs, at, make = _fs(spark, f"{target}.lock")
+#: Seconds for which a lease is held unless it is renewed.
+LEASE_SECONDS = 3600.0
+
+
+@dataclass(frozen=True)
+class Lease:
+    """The right to publish at a target until it expires, or another lease follows it."""
+
+    spark: SparkSession
+    target: str
+    number: int
+    owner: str
+
+    @property
+    def path(self) -> str:
+        return f"{self.target}/LEASES/{self.number:012d}"
+
+    def renew(self, seconds: float = LEASE_SECONDS) -> None:
+        """Hold on for longer. Raises RuntimeError if another lease has followed."""
+        self.check()
+        write_text(self.spark, self.path, to_json({"owner": self.owner, "expires": time.time() + seconds}))
+
+    def check(self) -> None:
+        """Raise RuntimeError if another lease has followed this one."""
+        if (last := _last(self.spark, f"{self.target}/LEASES/")) != self.number:
+            raise RuntimeError(f"the lease {self.number} on {self.target} has expired and was followed by {last}")
+
+    def give_back(self) -> None:
+        """Let the next writer begin at once."""
+        if _last(self.spark, f"{self.target}/LEASES/") == self.number:
+            write_text(self.spark, self.path, to_json({"owner": self.owner, "expires": 0}))
+
+
+def _last(spark: SparkSession, prefix: str) -> int | None:
+    """The highest number of the files whose path is ``prefix`` and a number; None if there are none."""
+    fs, at, _ = _fs(spark, f"{prefix}*")
+    found = fs.globStatus(at) or []
+    names = [str(f.getPath().getName()).removeprefix(prefix.rsplit("/", 1)[-1]) for f in found]
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file exclusively; False if there is one. It appears whole: written aside and moved without replacing."""
+    fs, at, make = _fs(spark, path)
+    part = make(f"{path}.part-{uuid.uuid4().hex}")
+    out = fs.create(part, False)
     try:
-        fs.create(at, False).close()
-    except Exception as error:  # the JVM's error, whose kind depends on the store
-        if fs.exists(at):
-            raise FileExistsError(f"another run holds {target}.lock") from error
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    at, part = fs.makeQualified(at), fs.makeQualified(part)
+    claim = make(f"{path}.claim")  # exclusive also where a rename replaces what is there
+    try:
+        fs.create(claim, False).close()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, at, how)
+    except Exception:  # the JVM's error, whose kind depends on the store
+        fs.delete(part, False)
+        if fs.exists(claim):
+            return False
         raise
+    return True
+
+
+def acquire(spark: SparkSession, target: str, seconds: float = LEASE_SECONDS, owner: str | None = None) -> Lease:
+    """The next lease on ``target``. Raises FileExistsError while another writer holds one, or if one was faster."""
+    last = _last(spark, f"{target}/LEASES/")
+    if last is not None:
+        held = json.loads(read_text(spark, f"{target}/LEASES/{last:012d}"))
+        if held["expires"] > time.time():
+            raise FileExistsError(f"{held['owner']} holds the lease {last} on {target}")
+    lease = Lease(spark, target, (last or 0) + 1, owner or f"{socket.gethostname()}-{uuid.uuid4().hex[:8]}")
+    for _ in range(3):  # a writer that died between claiming a number and making its file leaves that number out
+        if _create(spark, lease.path, to_json({"owner": lease.owner, "expires": time.time() + seconds})):
+            return lease
+        if _last(spark, f"{target}/LEASES/") != last:
+            break
+        time.sleep(1)  # the claim's own file may be under way
+        if _last(spark, f"{target}/LEASES/") != last:
+            break
+        lease = Lease(spark, target, lease.number + 1, lease.owner)
+    raise FileExistsError(f"another run was faster to take a lease on {target}")
+
+
+@contextlib.contextmanager
+def leased(spark: SparkSession, target: str, seconds: float = LEASE_SECONDS):
+    """Hold a lease on ``target``, given back at the end."""
+    lease = acquire(spark, target, seconds)
     try:
-        yield
+        yield lease
     finally:
-        fs.delete(at, False)
+        lease.give_back()
+
+
+def point(lease: Lease, name: str) -> None:
+    """Make ``name`` the current version. Raises RuntimeError, and changes nothing that a reader sees, if the lease has been followed."""
+    lease.check()
+    made = _create(lease.spark, f"{lease.target}/CURRENT-{lease.number:012d}", name)
+    if not made or _last(lease.spark, f"{lease.target}/CURRENT-") != lease.number:
+        raise RuntimeError(f"{lease.target} has a version of a later lease than {lease.number}")
 
 
 def to_json(value) -> str:
@@ -82,7 +176,8 @@ def to_json(value) -> str:
 
 def current(spark: SparkSession, target: str) -> str | None:
     """The folder of the published version; None if there is none."""
-    name = read_text(spark, f"{target}/CURRENT")
+    number = _last(spark, f"{target}/CURRENT-")
+    name = None if number is None else read_text(spark, f"{target}/CURRENT-{number:012d}")
     return f"{target}/{name.strip()}" if name else None
 
 
@@ -93,23 +188,21 @@ def published(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def publish(frame: DataFrame, target: str, validate: Callable[[DataFrame], None], replace: bool = False) -> str | None:
+def publish(frame: DataFrame, target: str, validate: Callable[[DataFrame], None], replace: bool = False, seconds: float = LEASE_SECONDS) -> str | None:
     """Publish ``frame`` as Parquet at ``target``; returns the folder of the version that it replaces, if there was one.
 
     ``validate`` gets the staged table, read back, and raises if it is wrong.
     Readers go through :func:`published`.
     """
     spark = frame.sparkSession
-    with locked(spark, target):
+    with leased(spark, target, seconds) as lease:
         before = current(spark, target)
         if before and not replace:
             raise FileExistsError(f"{target} is published; pass replace=True to publish a new version")
         name = f"version-{uuid.uuid4().hex}"
         frame.write.parquet(f"{target}/{name}")
         validate(spark.read.schema(frame.schema).parquet(f"{target}/{name}"))
-        if current(spark, target) != before:
-            raise RuntimeError(f"{target} changed while this version was made")
-        write_text(spark, f"{target}/CURRENT", name)
+        point(lease, name)
     return before
 
 
@@ -122,8 +215,7 @@ def curated_export(decisions: DataFrame, made: DataFrame, target: str, version:
     """
     spark, before = decisions.sparkSession, source()
     measures = {r["measure"]: r["value"] for r in report(decisions).collect()}
-    with locked(spark, target):
-        pinned = current(spark, target)
+    with leased(spark, target) as lease:
         name = f"version-{uuid.uuid4().hex}"
         made.write.json(f"{target}/{name}/samples.json")
         staged = spark.read.schema("path string, sha256 string").json(f"{target}/{name}/samples.json")
@@ -137,9 +229,7 @@ def curated_export(decisions: DataFrame, made: DataFrame, target: str, version:
         write_text(spark, f"{target}/{name}/report.json", to_json(measures))
         if source() != before:
             raise RuntimeError("the source changed while it was exported")
-        if current(spark, target) != pinned:
-            raise RuntimeError(f"{target} changed while this version was made")
-        write_text(spark, f"{target}/CURRENT", name)
+        point(lease, name)
     return measures
 
 

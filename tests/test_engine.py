@@ -277,10 +277,11 @@ def test_publish_is_staged(spark, tmp_path):
     assert publish.published(spark, target).count() == 5
     retired = publish.publish(spark.range(7).withColumnRenamed("id", "k"), target, publish.same_rows(7, "k"), replace=True)
     assert publish.published(spark, target).count() == 7 and spark.read.parquet(retired).count() == 5
-    with publish.locked(spark, target):  # a second writer
+    with publish.leased(spark, target):  # a second writer
         with pytest.raises(FileExistsError):
             publish.publish(frame, target, publish.same_rows(5, "k"), replace=True)
-    assert publish.published(spark, target).count() == 7 and not publish.exists(spark, f"{target}.lock")
+    assert publish.published(spark, target).count() == 7
+    publish.acquire(spark, target, 3600).give_back()
     report = publish.snapshot_run(frame, target, "k", str(tmp_path / "reports"), dry_run=True)
     assert report.phase == "audit" and json.loads((tmp_path / "reports/latest.json").read_text())["counts"] == {"rows": 5}
     with pytest.raises(FileExistsError):
@@ -313,6 +314,41 @@ def test_validation_collects_everything(spark):
     assert validate.count_error(rows, 4).count() == 1
 
 
+def test_a_dead_writer_blocks_nobody_and_a_late_one_cannot_publish(spark, tmp_path):
+    target, frame = str(tmp_path / "snap"), spark.range(5).withColumnRenamed("id", "k")
+    late = publish.acquire(spark, target, seconds=0.0, owner="late")  # dies, or sleeps, without giving its lease back
+    publish.publish(frame, target, publish.same_rows(5, "k"))
+    now = publish.current(spark, target)
+    with pytest.raises(RuntimeError):
+        publish.point(late, "version-late")
+    with pytest.raises(RuntimeError):
+        late.renew()
+    late.give_back()  # changes nothing
+    # Even one that passed the check before it fell asleep makes a pointer that nobody follows.
+    assert publish._create(spark, f"{target}/CURRENT-{late.number:012d}", "version-late")
+    assert publish.current(spark, target) == now and publish.published(spark, target).count() == 5
+    first = publish.acquire(spark, target, seconds=60.0)
+    assert first.number == late.number + 2
+    with pytest.raises(FileExistsError):
+        publish.publish(frame, target, publish.same_rows(5, "k"), replace=True)
+    first.give_back()
+    publish.publish(frame.limit(2), target, publish.same_rows(2, "k"), replace=True)
+    assert publish.published(spark, target).count() == 2
+
+
+def test_of_two_writers_one_gets_the_lease(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def take(_):
+        try:
+            return publish.acquire(spark, str(tmp_path / "t"), 60.0).number
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        assert sorted(filter(None, pool.map(take, range(6)))) == [1]
+
+
 def test_curation_counts(spark):
     schema = f"path string, sha256 string, identity string, compatible boolean, bboxes_body {boxes.DETECTIONS}, tags array<string>"
     d = [{"id": "1", "label": "x", "confidence": 1.0, "bounding_box": [0.0, 0.0, 1.0, 1.0]}]
