@@ -10,6 +10,7 @@ from fieldbook.operators import clean, curate, dedup, experiments, frames, infer
 from fieldbook.plans import catalogue, snapshot
 from fieldbook.plans.registry import embedded, query, rounded
 from fieldbook.session import table
+from fieldbook.sources import video
 
 
 def said(prefix: str, c: Column, suffix: str = "") -> Column:
@@ -348,3 +349,75 @@ def duplicate_label_rows(spark: SparkSession, sf: str) -> DataFrame:
     _, others = clean.first_of_duplicates(rows, ["c_nationkey", "c_mktsegment"], "c_custkey")
     marked = dedup.mark_first(rows, ["c_nationkey", "c_mktsegment"], "c_custkey").where("NOT is_first")
     return others.select("c_custkey").intersect(marked.select("c_custkey"))
+
+
+#: A piece of a file: its bytes as hex, and how many there are.
+Piece = tuple[Column, int]
+
+
+def _be(n: Column | int) -> Piece:
+    """Four bytes of a number, the highest first."""
+    return F.lpad(F.hex((F.lit(n) if isinstance(n, int) else n).cast("long")), 8, "0"), 4
+
+
+def _le(n: Column | int) -> Piece:
+    digits = _be(n)[0]
+    return F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)]), 4
+
+
+def _text(s: str) -> Piece:
+    return F.lit(s.encode().hex()), len(s)
+
+
+def _zeros(n: int) -> Piece:
+    return F.lit("00" * n), n
+
+
+def _joined(*pieces: Piece) -> Piece:
+    return F.concat(*[c for c, _ in pieces]), sum(n for _, n in pieces)
+
+
+def _box(kind: str, *content: Piece) -> Piece:
+    return _joined(_be(8 + sum(n for _, n in content)), _text(kind), *content)
+
+
+def _chunk(kind: str, *content: Piece) -> Piece:
+    return _joined(_text(kind), _le(sum(n for _, n in content)), *content)
+
+
+def _videos(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): an MP4 or AVI file for each part, its numbers taken from the key; every thirteenth is cut off."""
+    k = F.col("p_partkey")
+    shown, step = k % 90 + 10, F.when(k % 4 == 0, 20).otherwise(25)
+    sound = _box("trak", _box("mdia", _box("hdlr", _zeros(8), _text("soun"), _zeros(13))))
+    times = _box("minf", _box("stbl", _box("stts", _zeros(4), _be(2), _be(shown), _be(step), _be(5), _be(40))))
+    media = _box("mdia", _box("mdhd", _zeros(12), _be(600), _be(shown * step + 200), _zeros(4)), _box("hdlr", _zeros(8), _text("vide"), _zeros(13)), times)
+    picture = _box("trak", _box("tkhd", _zeros(76), _be((k % 7 + 320) * 65536), _be(240 * 65536)), media)
+    mp4 = _joined(_box("ftyp", _text("isom"), _zeros(4)), _box("mdat", _zeros(32)), _box("moov", sound, picture))
+    head = _chunk("avih", _le(40_000), _zeros(12), _le(k % 500 + 1), _zeros(12), _le(k % 7 + 320), _le(240), _zeros(16))
+    stream = _chunk("LIST", _text("strl"), _chunk("strh", _text("vids"), _zeros(16), _le(k % 3 + 1), _le(k % 20 + 15), _zeros(4), _le(k % 500 + 1), _zeros(20)))
+    avi = _joined(_text("RIFF"), _zeros(4), _text("AVI "), _chunk("LIST", _text("hdrl"), head, stream), _chunk("LIST", _text("movi"), _zeros(32)))
+    content = F.when(k % 2 == 0, F.unhex(mp4[0])).otherwise(F.unhex(avi[0]))
+    cut = F.when(k % 13 != 0, max(mp4[1], avi[1])).when(k % 2 == 0, 100).otherwise(110)
+    path = F.concat(F.lit("v/"), k.cast("string"), F.when(k % 2 == 0, ".mp4").otherwise(".avi"))
+    return table(spark, sf, "part").select(path.alias("path"), F.substr(content, F.lit(1), cut).alias("content"))
+
+
+@query(
+    "WITH k AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS mp4, p_partkey % 13 = 0 AS cut, p_partkey % 90 + 15 AS f, (p_partkey % 90 + 10) * CASE WHEN p_partkey % 4 = 0 THEN 20 ELSE 25 END + 200 AS t, p_partkey % 500 + 1 AS n, (p_partkey % 20 + 15)::DOUBLE / (p_partkey % 3 + 1) AS r FROM part) "
+    "SELECT 'v/' || k || CASE WHEN mp4 THEN '.mp4' ELSE '.avi' END AS path, CASE WHEN mp4 THEN 'mp4' ELSE 'avi' END AS container, CASE WHEN NOT cut THEN (320 + k % 7)::INT END AS width, CASE WHEN NOT cut THEN round(CASE WHEN mp4 THEN f * 600.0 / t ELSE r END, 6) END AS fps, CASE WHEN NOT cut THEN (CASE WHEN mp4 THEN f ELSE n END)::BIGINT END AS frame_count, CASE WHEN NOT cut THEN round(CASE WHEN mp4 THEN t / 600.0 ELSE n / r END, 6) END AS seconds, NOT cut AS readable FROM k"
+)
+def video_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Frame rate, frames and duration as the containers' headers have them."""
+    told = video.video_headers(_videos(spark, sf))
+    return rounded(told.select("path", "container", "width", "fps", "frame_count", "seconds", F.col("error").isNull().alias("readable")), "fps", "seconds")
+
+
+@query(
+    "WITH k AS (SELECT p_partkey AS k, p_partkey % 90 + 15 AS f, ((p_partkey % 90 + 15) * 600.0 / ((p_partkey % 90 + 10) * CASE WHEN p_partkey % 4 = 0 THEN 20 ELSE 25 END + 200))::DOUBLE AS fps FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 13 <> 0), "
+    "e AS (SELECT k, f, fps, least(floor(fps), f)::BIGINT AS early, floor(fps)::BIGINT AS start FROM k), s AS (SELECT k, unnest(list_distinct(list_concat(range(0, early, greatest(1, floor(fps / 2))::BIGINT), CASE WHEN start < f THEN range(start, f, greatest(1, floor(fps / 0.5))::BIGINT) ELSE [] END))) AS source_frame FROM e) SELECT 'v/' || k || '.mp4' AS filepath, source_frame::INT AS source_frame FROM s"
+)
+def sampled_videos(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames sampled by what the headers say: nothing of a file that can't be read."""
+    told = video.video_headers(_videos(spark, sf).where("path LIKE '%.mp4'")).withColumnsRenamed({"path": "filepath"}).withColumn("sample_id", F.col("filepath"))
+    return frames.sample_frames(told).select("filepath", "source_frame")
