@@ -32,6 +32,8 @@ from fieldbook.session import materialize
 
 #: Most labelled rows that a model is fitted on, chosen by a hash of doc_id.
 FIT_ROWS = 30_000
+#: Most candidate terms, and most learned phrases, that reach the driver.
+CANDIDATES = 20_000
 
 #: Harmless phrases that hold whatever the labels say; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "pond scum")
@@ -225,11 +227,12 @@ def _choose(found: list[np.ndarray], t: np.ndarray, c: np.ndarray, n_clean: int,
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, seed: int = 8) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, candidates: int = CANDIDATES, exceptions: tuple[str, ...] = EXCEPTIONS, seed: int = 8) -> Model:
     """Fit on (doc_id, text) rows that ``labels`` (doc_id, label 0 or 1) covers, about ``fit_rows`` at most.
 
-    Near copies count once. Every word and stem that enough of the toxic rows
-    hold is a candidate. A lexicon word and its neighbour are an exception phrase
+    Near copies count once. Words and stems that three toxic rows hold, and clean
+    rows an eighth as often at most, are candidates: the ``candidates`` held by
+    most toxic rows, so that what reaches the driver is bounded. A lexicon word and its neighbour are an exception phrase
     where clean rows hold both together, and toxic rows next to never. Without
     toxic rows the lexicon is empty and every score the same low one.
     """
@@ -237,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
     sketched = sample.mapInArrow(per_text(lambda: lambda texts: [[sketch(fold(t)) for t in texts]], "text", ["sketch"], [pa.int64()]), "text string, label int, sketch long")
     sample = materialize(sketched.groupBy("sketch", "label").agg(F.min("text").alias("text")).select("text", "label"), "toxic-sample")
     counts = sample.mapInArrow(_document_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    kept = counts.where("t >= 3 AND t >= 8 * c").orderBy(F.col("t").desc(), "c", "word").collect()  # of the bounded sample's words
+    kept = counts.where("t >= 3 AND t >= 8 * c").orderBy(F.col("t").desc(), "c", "word").limit(candidates).collect()
     words = [r["word"] for r in kept]
     place = {w: i for i, w in enumerate(words)}
 
@@ -250,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
     chosen = _choose([np.array(r["found"], np.int64) for r in found], np.array([r["t"] for r in kept], float), np.array([r["c"] for r in kept], float), n_clean, words)
     model = Model(chosen, safe)
     told = sample.mapInArrow(_phrases(model), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    learned = sorted(r["phrase"] for r in told.where("c >= 3 AND c >= 8 * t").collect())
+    learned = sorted(r["phrase"] for r in told.where("c >= 3 AND c >= 8 * t").orderBy(F.col("c").desc(), "phrase").limit(candidates).collect())
     model = Model(chosen, tuple(dict.fromkeys((*safe, *learned))))
     measured = sample.mapInArrow(per_text(lambda: lambda texts: [model.measure(texts)], "text", ["x"], [pa.float64()], ["label"]), "label int, x double").toArrow().to_pandas().sort_values(["x", "label"])
     return Model(chosen, model.exceptions, *_logistic(measured["x"].to_numpy(float), measured["label"].to_numpy(float)))
