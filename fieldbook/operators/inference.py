@@ -13,6 +13,26 @@ from fieldbook.operators.similarity_index import ranked
 from fieldbook.operators.vectors import blocks_of, over_block_pairs, unit_matrix
 
 
+def settled(model: Callable[[list], list], payloads: pd.Series) -> list[tuple]:
+    """A vector and no error, or none and what was raised, for each payload: a batch that fails is halved until single rows are left."""
+
+    def settle(values: list) -> list[tuple]:
+        try:
+            return [(v, None) for v in model(values)]
+        except Exception as error:  # a model may raise anything; the row keeps what it said
+            if len(values) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            half = len(values) // 2
+            return settle(values[:half]) + settle(values[half:])
+
+    there = payloads.notna().to_numpy()
+    made: list = [(None, "no payload")] * len(payloads)
+    if there.any():
+        for i, result in zip(np.flatnonzero(there), settle(payloads[there].tolist()), strict=True):
+            made[i] = result
+    return made
+
+
 def infer(rows: DataFrame, load: Callable[[], Callable[[list], list]], key: str, payload: str, batch: int = 32) -> DataFrame:
     """(key, embedding, error): ``load`` runs once in each task and gives the model's function from a list of payloads to vectors.
 
@@ -22,25 +42,11 @@ def infer(rows: DataFrame, load: Callable[[], Callable[[list], list]], key: str,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
-
-        def settle(values: list) -> list[tuple]:
-            try:
-                return [(np.asarray(v, float).tolist(), None) for v in model(values)]
-            except Exception as error:  # a model may raise anything; the row keeps what it said
-                if len(values) == 1:
-                    return [(None, f"{type(error).__name__}: {error}")]
-                half = len(values) // 2
-                return settle(values[:half]) + settle(values[half:])
-
         for frame in batches:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
-                there = part[payload].notna().to_numpy()
-                made: list = [(None, "no payload")] * len(part)
-                if there.any():
-                    for i, result in zip(np.flatnonzero(there), settle(part[payload][there].tolist()), strict=True):
-                        made[i] = result
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [m[0] for m in made], "error": [m[1] for m in made]})
+                made = settled(model, part[payload])
+                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [None if v is None else np.asarray(v, float).tolist() for v, _ in made], "error": [e for _, e in made]})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, payload).mapInPandas(run, f"{key} {kind}, embedding array<double>, error string")

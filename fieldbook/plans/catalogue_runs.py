@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions import boxes
-from fieldbook.operators import curate
+from fieldbook.operators import curate, enrichment
 from fieldbook.plans import catalogue, ingest, publish, snapshot
 from fieldbook.plans.catalogue_samples import said
 from fieldbook.plans.registry import embedded, query, rounded
@@ -171,3 +171,42 @@ def curation_guards(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(said("p", p).alias("path"), F.lit("clip").alias("decision"), F.when(p % 3 > 0, F.array(F.lit(1))).when(p % 2 == 0, F.array(F.lit(1), F.lit(2))).alias("bboxes_body"))
     n = curate.clip_errors(rows).agg(F.count(F.lit(1)).alias("value")).select(F.lit("clip errors").alias("measure"), "value")
     return spark.createDataFrame([("exports", len(folders)), ("manifests", len(manifests))], "measure string, value long").unionByName(n)
+
+
+class Killed(Exception):
+    """Ends a run from outside."""
+
+
+def _length():
+    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+def _words():
+    def count(texts: list[str]) -> list[list[float]]:
+        if any(len(t) % 50 == 0 for t in texts):
+            raise ValueError("a length that this model refuses")
+        return [[float(len(t.split(" ")))] for t in texts]
+
+    return count
+
+
+@query(
+    "WITH t AS (SELECT text, len(text) AS n FROM documents) SELECT 'length' AS model, count(text) AS n, 0::BIGINT AS failed, sum(n)::DOUBLE AS total FROM t UNION ALL SELECT 'words', count(text) FILTER (WHERE n % 50 <> 0), count(text) FILTER (WHERE n % 50 = 0), (sum(len(string_split(text, ' '))) FILTER (WHERE n % 50 <> 0))::DOUBLE FROM t"
+)
+def resumed_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models over all documents: a run that is killed half-way, one that does the rest, one with nothing but failures to do."""
+    rows, target = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("payload")), scratch_path(spark, "enriched")
+    models = {"length": ("v1", _length), "words": ("v1", _words)}
+
+    def kill(k: int) -> None:
+        if k == 1:
+            raise Killed
+
+    try:
+        enrichment.enrich(rows, models, target, slices=4, after_slice=kill)
+    except Killed:
+        pass
+    for _ in range(2):
+        enrichment.enrich(rows, models, target, slices=2)
+    stored = enrichment.results(spark, target)
+    return stored.groupBy("model").agg(F.count("embedding").alias("n"), F.count("error").alias("failed"), F.sum(F.get("embedding", F.lit(0)).cast("double")).alias("total"))
