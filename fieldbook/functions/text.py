@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldbook.sources.fixed import BACKBONE_FIELDS
+
 # Extensions by kind of file.
 VIDEO_EXTENSIONS = ("mp4", "mov", "avi", "mkv")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
@@ -172,6 +174,12 @@ def embedding_field(model: Column) -> Column:
     return F.concat(F.lit("embeddings_"), F.regexp_replace(F.element_at(F.split(model, ":"), -1), "[/-]", "_"))
 
 
+def backbone_field(model: Column) -> Column:
+    """The field of a known backbone's embeddings, else :func:`embedding_field`."""
+    known = F.create_map(*[F.lit(x) for pair in BACKBONE_FIELDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, model), embedding_field(model))
+
+
 def timestamp_or_least(c: Column) -> Column:
     """An ISO timestamp; what can't be read sorts first."""
     return F.coalesce(F.try_to_timestamp(c), F.lit("0001-01-01 00:00:00").cast("timestamp"))

@@ -7,6 +7,7 @@ caller asks for (counts, best neighbours, similar pairs) leaves the task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from fieldbook.sources.fixed import BACKBONE_FIELDS
+
 #: Rows in a block of vectors.
 BLOCK = 2048
 
@@ -91,9 +94,7 @@ def revision_errors(records: DataFrame, revision: str) -> DataFrame:
 
 def embedding_choice(columns: list[str], given: str | None, model: str, usual: str = "embeddings_full_image") -> str:
     """The column that holds the embeddings: the given one, else the usual one if there is such a column, else the model's."""
-    import re
-
-    return given or (usual if usual in columns else "embeddings_" + re.sub("[/-]", "_", model.rsplit(":", 1)[-1]))
+    return given or (usual if usual in columns else BACKBONE_FIELDS.get(model) or "embeddings_" + re.sub("[/-]", "_", model.rsplit(":", 1)[-1]))
 
 
 def n_blocks(rows: DataFrame, block: int = BLOCK) -> int:

@@ -48,14 +48,6 @@ def saved_views(snapshot: DataFrame) -> dict[str, DataFrame]:
     return views
 
 
-def register_views(snapshot: DataFrame, prefix: str = "") -> list[str]:
-    names = []
-    for name, view in saved_views(snapshot).items():
-        view.createOrReplaceTempView(f"{prefix}{name}")
-        names.append(f"{prefix}{name}")
-    return names
-
-
 def patches(samples: DataFrame, field: str, label_field: str = "label", sample_label: str = "label") -> DataFrame:
     """A row per detection; its label, else the sample's; rows without either are dropped; a null split is ``train``."""
     rows = samples.select("*", F.posexplode(field).alias("patch", "detection"))

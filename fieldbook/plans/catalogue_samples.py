@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.functions import boxes, masks
+from fieldbook.functions import boxes, masks, text
 from fieldbook.operators import clean, curate, dedup, experiments, frames, inference, lineage, metrics, records, split, stats, validate, vectors, views
 from fieldbook.plans import catalogue, snapshot
 from fieldbook.plans.registry import embedded, query, rounded
 from fieldbook.session import table
 from fieldbook.sources import video
+from fieldbook.sources.fixed import BACKBONE_FIELDS
 
 
 def said(prefix: str, c: Column, suffix: str = "") -> Column:
@@ -421,3 +422,17 @@ def sampled_videos(spark: SparkSession, sf: str) -> DataFrame:
     """Frames sampled by what the headers say: nothing of a file that can't be read."""
     told = video.video_headers(_videos(spark, sf).where("path LIKE '%.mp4'")).withColumnsRenamed({"path": "filepath"}).withColumn("sample_id", F.col("filepath"))
     return frames.sample_frames(told).select("filepath", "source_frame")
+
+
+_MODELS = ", ".join(f"('{m}', '{f}')" for m, f in BACKBONE_FIELDS.items())
+
+
+@query(
+    f"WITH b(model, field) AS (VALUES {_MODELS}), r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'hub:' || p_brand || '/' || p_type || '-' || p_partkey ELSE (SELECT list(model ORDER BY model) FROM b)[p_partkey % {len(BACKBONE_FIELDS)} + 1] END AS model FROM part) SELECT p_partkey, model, coalesce(field, 'embeddings_' || regexp_replace(regexp_replace(model, '^.*:', ''), '[/-]', '_', 'g')) AS field FROM r LEFT JOIN b USING (model)"
+)
+def backbone_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the embeddings of known and of unknown models are kept."""
+    k, names = F.col("p_partkey"), sorted(BACKBONE_FIELDS)
+    known = F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    model = F.when(k % 3 == 0, F.concat(F.lit("hub:"), "p_brand", F.lit("/"), "p_type", F.lit("-"), k.cast("string"))).otherwise(known)
+    return table(spark, sf, "part").select(k, model.alias("model")).withColumn("field", text.backbone_field(F.col("model")))
