@@ -241,3 +241,17 @@ def test_time_grows_with_the_length_of_a_text():
         start = time.process_time()
         personal_data.spans_in(text)
         assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("name", ["op11_lexical_search", "op12_spelling", "op13_personal_data"])
+def test_queries_equal_their_sql(spark, name):
+    from fieldbook.llm import queries
+
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    connection = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    want = connection.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
