@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from fieldbook.functions.text import normal_path
 from fieldbook.operators.lineage import resolved_identity
@@ -48,6 +49,29 @@ def canonical(annotation: Column) -> Column:
     return F.to_json(F.transform(annotation, lambda d: F.struct(d["bounding_box"].alias("bounding_box"), d["confidence"].alias("confidence"), d["label"].alias("label"))))
 
 
+def without_fields(value: Column, kind: DataType, names: tuple[str, ...] = ("_id",)) -> Column:
+    """``value`` of a nested type without the fields of these names, however deep in structs, arrays and map values; other fields in order of their names.
+
+    A struct that has no other field becomes an empty map, as no struct is empty.
+    """
+    if isinstance(kind, StructType):
+        kept = sorted((f for f in kind.fields if f.name not in names), key=lambda f: f.name)
+        if not kept:
+            return F.when(value.isNotNull(), F.create_map().cast("map<string,string>"))
+        return F.when(value.isNotNull(), F.struct(*[without_fields(value.getField(f.name), f.dataType, names).alias(f.name) for f in kept]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: without_fields(x, kind.elementType, names))
+    if isinstance(kind, MapType):
+        values = F.transform_values(value, lambda _, x: without_fields(x, kind.valueType, names))
+        return F.map_filter(values, lambda k, _: ~k.isin(*names)) if isinstance(kind.keyType, StringType) else values
+    return value
+
+
+def meaning(rows: DataFrame, column: str, into: str) -> DataFrame:
+    """``rows`` with ``into``: the column as JSON without generated identifiers, fields by name; equal text, equal meaning."""
+    return rows.withColumn(into, F.to_json(F.struct(without_fields(F.col(column), rows.schema[column].dataType).alias("v"))))
+
+
 def expected_path(rows: DataFrame, listing: DataFrame, name: str, site: str, cam: str, photo_dir: str = "ID PHOTOS") -> DataFrame:
     """``rows`` with the path where each file should be: as listed by name, else by stem, else site, camera or photo folder, and name; null without a site."""
     from fieldbook.functions import text as t

@@ -25,6 +25,11 @@ def measures(spark: SparkSession, values: dict) -> DataFrame:
     return spark.createDataFrame([(str(k), str(v)) for k, v in values.items()], "measure string, value string")
 
 
+def _contents_hash(spark: SparkSession, sf: str) -> str:
+    """A hash of all documents, whatever their order: what must not change while they are exported."""
+    return str(table(spark, sf, "documents").agg(F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).first()[0])
+
+
 @query(
     f"WITH {catalogue._TAGGED}, ok AS (SELECT *, NOT list_has_any(all_tags, ['filter_count', 'filter_quality']) AS fine, NOT coalesce(is_duplicate, false) AS single FROM tg) SELECT 'master' AS measure, count(*)::VARCHAR AS value FROM ok UNION ALL SELECT 'segmented', count_if(fine AND detections IS NOT NULL)::VARCHAR FROM ok UNION ALL SELECT 'segmented_deduplicated', count_if(fine AND single AND detections IS NOT NULL)::VARCHAR FROM ok UNION ALL SELECT 'not_segmented', count_if(fine AND detections IS NULL)::VARCHAR FROM ok UNION ALL SELECT 'not_segmented_deduplicated', count_if(fine AND single AND detections IS NULL)::VARCHAR FROM ok UNION ALL SELECT 'fields', 'label,sample_id,tags'"
 )
@@ -67,7 +72,7 @@ def curated_export(spark: SparkSession, sf: str) -> DataFrame:
     """The curated dataset as its export has it."""
     decisions, made = catalogue._decisions(spark, sf)
     target = scratch_path(spark, "curated")
-    publish.curated_export(decisions, made, target, "v1", lambda: "unchanged")
+    publish.curated_export(decisions, made, target, "v1", lambda: _contents_hash(spark, sf))
     return spark.read.schema("path string, review_required boolean").json(f"{publish.current(spark, target)}/samples.json")
 
 
@@ -76,7 +81,7 @@ def curated_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """The metadata and the report beside a curated dataset."""
     decisions, made = catalogue._decisions(spark, sf)
     target = scratch_path(spark, "curated")
-    publish.curated_export(decisions, made, target, "v1", lambda: "unchanged")
+    publish.curated_export(decisions, made, target, "v1", lambda: _contents_hash(spark, sf))
     read = lambda name: json.loads(publish.read_text(spark, f"{publish.current(spark, target)}/{name}.json"))
     return measures(spark, {"samples": read("metadata")["samples"], "version": read("metadata")["version"], "dropped": read("report")["dropped"]})
 

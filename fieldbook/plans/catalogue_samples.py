@@ -436,3 +436,14 @@ def backbone_fields(spark: SparkSession, sf: str) -> DataFrame:
     known = F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     model = F.when(k % 3 == 0, F.concat(F.lit("hub:"), "p_brand", F.lit("/"), "p_type", F.lit("-"), k.cast("string"))).otherwise(known)
     return table(spark, sf, "part").select(k, model.alias("model")).withColumn("field", text.backbone_field(F.col("model")))
+
+
+@query("SELECT c_custkey % 25 AS k, count(*) AS n, count(DISTINCT c_custkey % 2) AS meanings FROM customer GROUP BY 1")
+def nested_meanings(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotations with generated identifiers at every depth: what differs in these alone means the same."""
+    c = F.col("c_custkey")
+    made = said("id", c).alias("_id")
+    point = F.struct(made, F.struct(made, (c % 2).alias("side")).alias("place"))
+    nested = F.struct(made, F.array(point, F.struct(made, F.struct(made, F.lit(3).alias("side")).alias("place"))).alias("points"), F.create_map(F.lit("a"), F.struct(made, (c % 25).alias("z"), F.lit("y").alias("b"))).alias("more"))
+    rows = table(spark, sf, "customer").select((c % 25).alias("k"), nested.alias("annotation"))
+    return records.meaning(rows, "annotation", "meaning").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("meaning").alias("meanings"))

@@ -52,3 +52,11 @@ def test_helpers(spark, tmp_path):
     assert snapshot.ensure_table(spark, "kept_rows", spark.range(9), overwrite=True).count() == 9
     snapshot.drop_table(spark, "kept_rows")
     assert not spark.catalog.tableExists("kept_rows")
+
+
+def test_generated_identifiers_go_at_every_depth(spark):
+    from fieldbook.operators import records
+
+    schema = "v struct<_id string, b array<struct<_id int, x int>>, a map<string, struct<_id int, y int>>, only struct<_id int>>"
+    rows = spark.createDataFrame([((str(i), [(i, 1), (i + 1, 2)], {"k": (i, 5), "_id": (0, i)}, (i,)),) for i in (1, 2)] + [(None,), (("3", None, None, None),)], schema)
+    assert [r.m for r in records.meaning(rows, "v", "m").collect()] == ['{"v":{"a":{"k":{"y":5}},"b":[{"x":1},{"x":2}],"only":{}}}'] * 2 + ["{}", '{"v":{}}']
