@@ -215,3 +215,15 @@ def resumed_enrichment(spark: SparkSession, sf: str) -> DataFrame:
         enrichment.enrich(rows, models, target, slices=2)
     stored = enrichment.results(spark, target)
     return stored.groupBy("model").agg(F.count("embedding").alias("n"), F.count("error").alias("failed"), F.sum(F.get("embedding", F.lit(0)).cast("double")).alias("total"))
+
+
+_DRAWN = "(('0x' || substr(md5('42:' || vec_id || ':' || i || ':{k}'), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657.0"
+_RANDOM = f"g AS (SELECT vec_id AS id, label, i, sqrt(-2 * ln({_DRAWN.format(k=0)})) * cos(2 * pi() * {_DRAWN.format(k=1)}) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) d WHERE vec_id % 3 = 1), m AS (SELECT id, sqrt(sum(x * x)) AS n FROM g GROUP BY id), v AS (SELECT g.id, any_value(label) AS label, list((x / (n + 1e-12))::FLOAT::DOUBLE ORDER BY i) AS v FROM g JOIN m ON g.id = m.id GROUP BY g.id)"
+
+
+@query(f"WITH {_RANDOM}, {catalogue._S[catalogue._S.index('u AS (SELECT id, label, v'):]}{catalogue._P}")
+def evaluation_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval metrics of one split with random vectors in place of its own."""
+    part = F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("id") % 3 + 1).cast("int"))
+    rows = embedded(spark, sf).select(F.col("id").alias("sample_id"), "label", "vector", part.alias("split"))
+    return rounded(ingest.evaluate(rows, "val", 9, "random_baseline").where("scope = 'all'").drop("scope"), *catalogue._RATES)

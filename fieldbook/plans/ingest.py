@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.operators import clean, dedup, frames, inference, match, metrics, split, stats, views
+from fieldbook.operators.vectors import random_units
 from fieldbook.plans.publish import export_variants, to_json, write_text
 from fieldbook.session import materialize
 from fieldbook.sources.files import list_media
@@ -81,9 +82,19 @@ def export(samples: DataFrame, target: str, fields: list[str] | None = None) ->
     return export_variants(samples, target, {v: views.variant(samples, v) for v in views.VARIANTS}, fields)
 
 
-def evaluate(samples: DataFrame, part: str = "val", support: int = 9) -> DataFrame:
-    """Retrieval metrics of a split, over all its identities and over those with enough support in all splits."""
+def evaluate(samples: DataFrame, part: str = "val", support: int = 9, mode: str = "standard", seed: int = 42) -> DataFrame:
+    """Retrieval metrics of a split, over all its identities and over those with enough support in all splits.
+
+    ``mode``: ``standard`` ranks by the samples' vectors, ``random_baseline`` by
+    seeded random ones of the same size, which tells what chance alone gives.
+    """
+    if mode not in ("standard", "random_baseline"):
+        raise ValueError(f"unknown mode {mode}")
     rows = samples.select(F.col("sample_id").alias("id"), "label", "vector", "split")
     some = rows.where(F.col("split") == part)
+    if mode == "random_baseline":
+        size = some.agg(F.max(F.size("vector"))).first()[0] or 1
+        drawn = random_units(some.where("vector IS NOT NULL").select("id"), size, seed).withColumnRenamed("embedding", "vector")
+        some = some.drop("vector").join(drawn, "id")
     kept = metrics.with_support(some, support, rows)
     return metrics.retrieval_metrics(some).withColumn("scope", F.lit("all")).unionByName(metrics.retrieval_metrics(kept).withColumn("scope", F.lit("supported")))
