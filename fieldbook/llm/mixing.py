@@ -153,8 +153,8 @@ def _settled(rounded: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
     words = rounded.groupBy("source").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("more")).alias("taken")).withColumnRenamed("source", "of_words")
     lack = words.join(per_source, F.col("of_words").eqNullSafe(F.col("of"))).select("of", (F.col("all") * F.col("p") - F.col("taken")).alias("lack"))
     spare = rounded.join(lack, F.col("source").eqNullSafe(F.col("of"))).where((F.col("more") == (F.col("lack") < 0).cast("int")) & (F.col("size") <= F.abs("lack")))
-    drawn = Window.partitionBy("source", F.floor(F.log2("size"))).orderBy("hash", "locator")
-    spare = spare.withColumn("hash", F.xxhash64("doc_id", "locator", F.lit(seed))).withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SPARE)
+    drawn = Window.partitionBy("source", F.floor(F.log2("size"))).orderBy("hash", "locator.row")
+    spare = spare.withColumn("hash", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= SPARE)
     rows = spare.groupBy("source", F.abs("lack").alias("lack")).agg(F.sort_array(F.collect_list(F.struct("size", "hash", "locator")), asc=False).alias("docs"))
     taken = rows.schema["docs"].dataType
     start = F.struct(F.col("lack").alias("left"), F.array().cast(taken).alias("turned"))
