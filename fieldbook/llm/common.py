@@ -91,7 +91,7 @@ def sample_labels(labels: DataFrame, bound: int, seed: int) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices of ``batch`` whose texts hold about ``most_bytes``, one row at least."""
-    sizes = pc.binary_length(batch.column(column).cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most_bytes:
@@ -102,19 +102,19 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> I
         yield batch.slice(start)
 
 
-def per_text(make: Callable[[], Callable[[list], list]], column: str, names: list[str], types: list[pa.DataType], keep: list[str] | None = None):
+def per_text(make: Callable[[], Callable[[list], list]], column: str, names: list[str], types: list[pa.DataType], keep: list[str] | None = None, most_bytes: int = 4_000_000):
     """A ``mapInArrow`` function that keeps the input columns (or those in ``keep``) and adds computed ones.
 
     ``make`` runs once in each task and gives the function from a list of texts
-    (None for null) to a list of columns. Memory is bounded by slices of a few
-    megabytes of text, or one document.
+    (None for null) to a list of columns. Memory is bounded by slices of about
+    ``most_bytes`` of text, or one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             kept = batch.schema.names if keep is None else keep
-            for part in slices(batch, column):
+            for part in slices(batch, column, most_bytes):
                 made = work(part.column(column).to_pylist())
                 arrays = [pa.array(v, t) for v, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *arrays], names=[*kept, *names])

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from fieldbook.llm.common import documents_of, fresh, per_text
 
 MARK = "▁"
-#: Distinct units, and pairs of pieces, that a worker remembers at most.
-REMEMBERED = 200_000
+#: Distinct units that a worker remembers beyond its slice, pairs of pieces that it remembers, bytes of text in a slice.
+REMEMBERED, PAIRS, SLICE = 100_000, 200_000, 1_000_000
 
 #: SentencePiece's types of pieces and models, as the format numbers them.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -98,7 +99,7 @@ class Encoder:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             b = self.names[right]
             known = self._merged(b) == [b] if left < 0 else self._merged(self.names[left] + b) == [self.names[left], b]
@@ -155,9 +156,9 @@ class Encoder:
             yield states
 
     def learn(self, units: set[str]) -> None:
-        """Encode the distinct ``units`` that are not remembered yet, in the order of their trie."""
+        """Encode the distinct ``units`` that are not remembered yet, in the order of their trie; too large a memory keeps those in use."""
         if len(self.memo) > REMEMBERED:
-            self.memo.clear()
+            self.memo = {unit: self.memo[unit] for unit in units & self.memo.keys()}
         new = sorted(units - self.memo.keys())
         walk = self._bpe_units if self.pieces.bpe else self._unigram_units
         for unit, states in zip(new, walk(new), strict=True):
@@ -176,7 +177,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
         cut = [self.pieces.units.findall(self.pieces.marked(t or "")) for t in texts]
-        self.learn(set().union(*map(set, cut)))
+        self.learn(set(chain.from_iterable(cut)))
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, units)), np.int32) for units in cut]
 
 
@@ -219,7 +220,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", into: str =
 
     into = fresh(into, docs.columns)
     schema = StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))])
-    return docs.mapInArrow(per_text(make, text_col, [into], [pa.list_(pa.int32())]), schema)
+    return docs.mapInArrow(per_text(make, text_col, [into], [pa.list_(pa.int32())], most_bytes=SLICE), schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -260,5 +261,5 @@ def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         return work
 
     schema = StructType.fromDDL("ids array<int>, round_trip boolean")
-    out = docs.mapInArrow(per_text(make, "text", ["ids", "round_trip"], [pa.list_(pa.int32()), pa.bool_()], ["doc_id"]), StructType([docs.schema["doc_id"], *schema.fields]))
+    out = docs.mapInArrow(per_text(make, "text", ["ids", "round_trip"], [pa.list_(pa.int32()), pa.bool_()], ["doc_id"], SLICE), StructType([docs.schema["doc_id"], *schema.fields]))
     return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "round_trip")

@@ -7,10 +7,11 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.llm import exact_dedup, langid, licenses, media, mixing, near_dedup, quality, sentencepieces, token_counts, toxicity
+from fieldbook.llm import common, exact_dedup, langid, licenses, media, mixing, near_dedup, quality, sentencepieces, token_counts, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -388,3 +389,24 @@ def test_media_noise_size_and_angle(spark):
     found = [len({g for g in got & want if g[0] // 1000 == k}) for k in range(4)]
     assert min(found) >= 7, found
     assert not got - want - {(9000, 100), (9001, 100), (9002, 100), (9003, 101)}
+
+
+def test_encoder_memory_is_bounded(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 1_000_000] * 30})
+    pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        assert sum(part.num_rows for part in common.slices(batch, "text")) == 30
+    finally:
+        pa.set_memory_pool(before)
+    assert pool.max_memory() < 1_000_000  # no copy of the texts
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        encoder = sentencepieces.Encoder(sentencepieces.Pieces(f.read()))
+    monkeypatch.setattr(sentencepieces, "REMEMBERED", 50)
+    for i in range(20):
+        encoder.encode(["often seen " + " ".join(f"word{i}x{j}" for j in range(40))])
+        assert len(encoder.memo) <= 50 + 42
+    assert {sentencepieces.MARK + "often", sentencepieces.MARK + "seen"} <= encoder.memo.keys()
+    known = encoder.memo[sentencepieces.MARK + "often"]
+    encoder.encode(["often new"])
+    assert encoder.memo[sentencepieces.MARK + "often"] is known  # units in use are not encoded again
