@@ -410,3 +410,17 @@ def test_encoder_memory_is_bounded(monkeypatch):
     known = encoder.memo[sentencepieces.MARK + "often"]
     encoder.encode(["often new"])
     assert encoder.memo[sentencepieces.MARK + "often"] is known  # units in use are not encoded again
+
+
+def test_smoothed_pictures_are_remembered_within_bounds(monkeypatch):
+    pictures = media.paint(np.random.default_rng(4).normal(size=(5, 64)))
+    decoded, decode = [], media.decode_image
+    monkeypatch.setattr(media, "decode_image", lambda data: decoded.append(data) or decode(data))
+    monkeypatch.setattr(media, "REMEMBERED", 3 * 64 * 64)
+    of = media._smoothed()
+    for i in (0, 1, 0, 1, 0):
+        assert (of(b"%d" % i, media.pgm(pictures[i])) == media._smooth(pictures[i].astype(np.float32)[None], 1)[0]).all()
+    assert len(decoded) == 2
+    for i in (2, 3, 4, 0):
+        of(b"%d" % i, media.pgm(pictures[i]))
+    assert len(decoded) == 6  # the fifth picture came upon a full memory
