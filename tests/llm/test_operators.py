@@ -424,3 +424,20 @@ def test_smoothed_pictures_are_remembered_within_bounds(monkeypatch):
     for i in (2, 3, 4, 0):
         of(b"%d" % i, media.pgm(pictures[i]))
     assert len(decoded) == 6  # the fifth picture came upon a full memory
+
+
+def test_short_units_are_encoded_in_blocks_as_the_library_does(monkeypatch):
+    import sentencepiece
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    library, encoder = sentencepiece.SentencePieceProcessor(model_proto=raw), sentencepieces.Encoder(sentencepieces.Pieces(raw))
+    walked, walk = [], sentencepieces.Encoder._bpe_units
+    monkeypatch.setattr(sentencepieces.Encoder, "_bpe_units", lambda self, units: walked.extend(units) or walk(self, units))
+    monkeypatch.setattr(sentencepieces, "BLOCK", 100)
+    encoder.stays, encoder.steps = sentencepieces.Slots(encoder._pairs_stay, 3, bool), sentencepieces.Slots(encoder.pieces.step, 3)  # keys push each other out
+    rng = random.Random(9)
+    parts = ["the", "tion", "er", "é", "日本", "龘", "\U0001f600", *"abxyz09.,"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(30)] + ["x" * n for n in (1, 63, 64, 65, 200)]
+    assert [x.tolist() for x in encoder.encode(texts)] == library.encode(texts)
+    assert {len(unit) for unit in walked} == {65, 66, 201}  # only long units go one by one; each text's first has a mark
