@@ -441,3 +441,15 @@ def test_short_units_are_encoded_in_blocks_as_the_library_does(monkeypatch):
     texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(30)] + ["x" * n for n in (1, 63, 64, 65, 200)]
     assert [x.tolist() for x in encoder.encode(texts)] == library.encode(texts)
     assert {len(unit) for unit in walked} == {65, 66, 201}  # only long units go one by one; each text's first has a mark
+
+
+def test_media_groups_are_counted_exactly():
+    rng = np.random.default_rng(2)
+    alone = np.unique(rng.integers(0, 1 << 40, 500_000))
+    rng.shuffle(alone)
+    assert not media._frequent(alone).any()  # a table of 4 million hashes took some of these for groups
+    for top in (1 << 8, 1 << 62):
+        group = rng.integers(0, top, 300)[rng.integers(0, 300, 900)]
+        values, counts = np.unique(group, return_counts=True)
+        assert (media._frequent(group) == np.isin(group, values[counts >= media.LEAST_VOTES])).all()
+    assert media._frequent(np.zeros(0, np.int64)).tolist() == [] and media._frequent(np.zeros(3, np.int64)).tolist() == [False] * 3
