@@ -218,6 +218,70 @@ def test_hamming_tables_by_brute_force():
     assert share[differ <= 9].all()
 
 
+def described(pictures, up=0):
+    """The corners of pictures of one size, and their pictures' numbers."""
+    image, *values = media.describe(np.stack(pictures).astype(np.float32), up)
+    order = np.argsort(image, kind="stable")
+    found = np.zeros(len(order), media._CORNER)
+    for field, own in zip(media._CORNER.names, values, strict=True):
+        found[field] = own[order]
+    return found, image[order]
+
+
+def test_media_couples_by_brute_force():
+    """Each couple once, all within reach, and some for corners that are far from others."""
+    rng = np.random.default_rng(12)
+    dots = np.zeros((300, 300))
+    for y, x in ((40, 40), (40, 250), (250, 60), (240, 240), (150, 130)):
+        dots[y : y + 4, x : x + 4] = 200
+    for pictures in (list(media.paint(rng.normal(size=(4, 64)))), [media.paint(rng.normal(size=(1, 400)), 300)[0], dots]):
+        corners, image = described(pictures, 1)
+        i, j = media._couples(corners, image)
+        got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert len(got) == len(i)
+        scale, place = corners["scale"], corners["x"] + 1j * corners["y"].astype(float)
+        a, b = np.triu_indices(len(corners), 1)
+        apart = abs(place[a] - place[b]) * media.STEP ** np.minimum(scale[a], scale[b]).astype(float)
+        may = (image[a] == image[b]) & (abs(scale[a] - scale[b]) <= 1)
+        near = {(x, y) for x, y in zip(a[may & (apart < media.REACH)].tolist(), b[may & (apart < media.REACH)].tolist(), strict=True)}
+        assert near <= got <= {(x, y) for x, y in zip(a[may].tolist(), b[may].tolist(), strict=True)}
+        degree = np.bincount([x for both in got for x in both], minlength=len(corners))
+        most = np.bincount(np.concatenate([a[may], b[may]]), minlength=len(corners))
+        assert (degree >= np.minimum(most, media.FEW)).all()
+
+
+def test_media_pairs_without_a_common_couple_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(13)
+    pictures = media.paint(rng.normal(size=(200, 64)))
+    m, other = described(pictures)
+    q, image = described([media.edit(pictures[i], 0) for i in range(40)], 1)
+    monkeypatch.setattr(media, "TABLE", 10_000)  # several tables
+    pairs = media._in_common(q, image, m, other, media._couples(m, other))
+    assert {i * 200 + i for i in range(40)} <= set(pairs.tolist()) and (np.diff(pairs) > 0).all()
+    assert len(pairs) < 0.1 * 40 * 200
+    ours, theirs = pairs // 200, pairs % 200
+    ends, m_ends = np.searchsorted(image, np.arange(41)), np.searchsorted(other, np.arange(201))
+    one, two = media._compared(q), media._compared(m)
+    a, b = media._alike(one[0], one[2], two[0], two[2], [np.argsort(keys, kind="stable") for keys in two[2]])
+    number = {int(p): k for k, p in enumerate(pairs)}
+    want = {(number[p], x, y) for p, x, y in zip((image[a] * 200 + other[b]).tolist(), a.tolist(), b.tolist(), strict=True) if p in number}
+    for held in (media.HELD, 700):  # large pairs go through the tables
+        monkeypatch.setattr(media, "HELD", held)
+        got = [c.tolist() for c in media._matches(one, ends[ours], ends[ours + 1], two, m_ends[theirs], m_ends[theirs + 1])]
+        assert len(got[0]) == len(want) and set(zip(*got, strict=True)) == want
+
+
+def test_media_index_finds_what_all_pairs_give(spark):
+    rng = np.random.default_rng(14)
+    pictures = media.paint(rng.normal(size=(150, 64)))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, media binary")
+    stored = frame([(i, media.pgm(p)) for i, p in enumerate(pictures)])
+    edits = [lambda p: p[12:52, 9:49], lambda p: media.edit(p, 0) + rng.normal(0, 6, (52, 54)), lambda p: np.rot90(p)[3:60, 5:61]]
+    asked = frame([(1000 * k + i, media.pgm(np.rint(np.clip(edit(pictures[i]), 0, 255)).astype(np.uint8))) for k, edit in enumerate(edits) for i in range(15)])
+    got, want = ({(r.query, r.match) for r in media.find_copies(asked, stored, exact=exact).collect()} for exact in (False, True))
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 35
+
+
 def test_media_classes_stand_for_their_members(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(12, 64))
