@@ -1,71 +1,30 @@
 """Retrieval metrics and losses.
 
-Ranking a gallery for each query needs only the places of its positives, and how
-many positives stand before each. Rows of a label lie in one block, so a task has a
-block of queries with all their positives and a block of the gallery, and counts for
-each positive the gallery's rows before it; counts are added up by partial
-aggregation. A label too large for a block can't lie in one: its queries' ordered
-similarities leave the tasks as runs, cut at bounds of similarity, and the runs of
-a query between two bounds are merged. No task and no row holds a whole ranking.
+Ranking a gallery for each query needs only the places of its positives, but of a
+label with a tenth of all rows even those are a tenth of all pairs. So no pair
+leaves a task: a task has a few queries, reads the whole gallery block by block,
+and gives one row for each query. The fewer queries, the larger the gallery is, so
+that what a task holds is bounded; a gallery beyond that is ranked in parts between
+bounds of similarity, a task each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.operators.vectors import over_block_pairs, unit_matrix
+from fieldbook.operators.vectors import over_all, packed, unit_matrix, units
 from fieldbook.session import materialize
 
 CMC_AT = (1, 5, 10, 20)
-#: Similarities of one query that are merged together, about; vectors drawn to place the bounds between them.
-MERGED, DRAWN = 65_536, 512
-
-
-def _sorted_similarities(queries: pd.DataFrame, gallery: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Similarities rounded to 12 places, so that ties are ties whatever the summation order, a row to itself -inf; and the gallery's ids."""
-    ids = gallery["id"].to_numpy()
-    s = np.round(unit_matrix(queries) @ unit_matrix(gallery).T, 12)
-    s[queries["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-    return s, ids
-
-
-def _before(s: np.ndarray, ids: np.ndarray, marks: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """How many of a row's similarities ``s``, of ``ids`` in rising order, stand before each of (marks, names): higher, or equal with a lesser id."""
-    order = np.argsort(-s, kind="stable")
-    ranked = -s[order]
-    low, high = np.searchsorted(ranked, -marks, "left"), np.searchsorted(ranked, -marks, "right")
-    for k in np.flatnonzero(high > low):  # ties
-        low[k] += np.searchsorted(ids[order[low[k] : high[k]]], names[k])
-    return low
-
-
-def _counted(queries: DataFrame, gallery: DataFrame, n_left: int, n_right: int, best_only: bool) -> DataFrame:
-    """(query, positive, before, hits): for each query and each of its positives (or the best), all in its block, the gallery's rows before it, and how many are positives."""
-
-    def work(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        q, g = q.sort_values("id", ignore_index=True), g.sort_values("id", ignore_index=True)
-        out: list[list] = [[], [], [], []]
-        if len(q) and len(g):
-            s, ids = _sorted_similarities(q, g)
-            own, names = _sorted_similarities(q, q)
-            labels, theirs = q["label"].to_numpy(), g["label"].to_numpy()
-            members = {k: np.flatnonzero(labels == k) for k in np.unique(labels)}
-            kin = {k: np.flatnonzero(theirs == k) for k in members}
-            for x, label in enumerate(labels):
-                at = members[label][members[label] != x]
-                if not len(at):
-                    continue
-                if best_only:
-                    at = at[[own[x, at].argmax()]]
-                same = kin[label]
-                for part, values in zip(out, (np.repeat(names[x], len(at)), names[at], _before(s[x], ids, own[x, at], names[at]), _before(s[x, same], ids[same], own[x, at], names[at])), strict=True):
-                    part.append(values)
-        return pd.DataFrame({k: np.concatenate(v).astype("int64") if v else np.zeros(0, "int64") for k, v in zip(("query", "positive", "before", "hits"), out, strict=True)})
-
-    return over_block_pairs(queries, gallery, n_left, n_right, work, "query long, positive long, before long, hits long")
+#: Similarities that a task holds at once; vectors drawn to place the bounds between the parts of longer rankings.
+MERGED, DRAWN = 12_000_000, 512
+#: Tied values of one query that are looked up one by one, not by sorting all.
+TIES = 8
 
 
 def _bounds(rows: DataFrame, n: int) -> np.ndarray:
@@ -77,67 +36,92 @@ def _bounds(rows: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.quantile((drawn @ drawn.T)[np.triu_indices(len(drawn), 1)], np.arange(1, parts) / parts))[::-1]
 
 
-def _merged(queries: DataFrame, gallery: DataFrame, n_left: int, n_right: int) -> DataFrame:
-    """(query, sum, n, first): the sum of precisions at the query's positives, their number and the first one's rank, wherever they lie."""
-    bounds = _bounds(gallery, gallery.count())
-
-    def runs(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id", ignore_index=True)
-        out: dict[str, list] = {k: [] for k in ("query", "part", "s", "ids", "positive", "n", "hits")}
-        if len(q) and len(g):
-            s, ids = _sorted_similarities(q, g)
-            labels = g["label"].to_numpy()
-            for name, label, row in zip(q["id"], q["label"], s, strict=True):
-                order = np.argsort(-row, kind="stable")
-                order = order[row[order] > -np.inf]
-                ranked, positive = row[order], labels[order] == label
-                cuts = [0, *np.searchsorted(-ranked, -bounds, "left"), len(order)]  # a bound itself is in the lower part
-                for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        for k, v in zip(out, (name, part, ranked[a:b], ids[order[a:b]], positive[a:b], b - a, int(positive[a:b].sum())), strict=True):
-                            out[k].append(v)
-        return pd.DataFrame(out).astype({"query": "int64", "part": "int32", "n": "int64", "hits": "int64"})
-
-    made = materialize(over_block_pairs(queries, gallery, n_left, n_right, runs, "query long, part int, s array<double>, ids array<long>, positive array<boolean>, n long, hits long"), "similarity-runs")
-    sizes = made.groupBy("query", "part").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    above = Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("query", "part", "hits", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits_above")).where("hits > 0")
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        s, ids, positive = (np.concatenate(rows[k].to_numpy()) for k in ("s", "ids", "positive"))
-        at = np.flatnonzero(positive.astype(bool)[np.lexsort((ids, -s))])
-        rank = rows["n_above"].iloc[0] + at + 1
-        precision = (rows["hits_above"].iloc[0] + np.arange(1, len(at) + 1)) / rank
-        return pd.DataFrame({"query": [rows["query"].iloc[0]], "sum": [precision.sum()], "n": [len(at)], "first": [int(rank[0])]})
-
-    joined = made.select("query", "part", "s", "ids", "positive").join(offsets.drop("hits"), ["query", "part"])
-    parts = joined.groupBy("query", "part").applyInPandas(merge, "query long, sum double, n long, first long")
-    return parts.groupBy("query").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("first").alias("first"))
+def _places(s: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places from 0, in rising order, of the rows ``at`` in the ranking of ``s`` by falling similarity, ties by id."""
+    marks, ranked = np.sort(-s[at]), np.sort(-s)
+    low, high = np.searchsorted(ranked, marks, "left"), np.searchsorted(ranked, marks, "right")
+    tied = np.unique(marks[high > low + 1])
+    if len(tied) > TIES:
+        wanted = np.zeros(len(s), bool)
+        wanted[at] = True
+        return np.flatnonzero(wanted[np.lexsort((ids, -s))])
+    for mark in tied:
+        equal = np.flatnonzero(-s == mark)
+        equal = equal[np.argsort(ids[equal], kind="stable")]
+        a, b = np.searchsorted(marks, mark, "left"), np.searchsorted(marks, mark, "right")
+        low[a:b] += np.flatnonzero(np.isin(equal, at))
+    return low
+
+
+def _ranked(asked: dict[str, np.ndarray], blocks: Iterator[dict[str, np.ndarray]], edges: np.ndarray, best_only: bool) -> Iterator[pd.DataFrame]:
+    """(query, sum, n, first) of the queries of a task: precisions at the positives that lie in its part, summed; their number; the first one's rank."""
+    x, names, part = units(asked), asked["id"], int(asked["part"][0])
+    top, bottom, whole = edges[part], edges[part + 1], len(edges) == 2
+    known, of = np.unique(asked["label"], return_inverse=True)
+    known = pd.Index(known)
+    above, hits_above = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    held: list[list[tuple]] = [[] for _ in names]
+    rows, ids, labels = [], [], []
+    for block in blocks:
+        s = x @ units(block).T
+        s *= 1e12
+        np.rint(s, out=s)  # 12 places, so that ties are ties whatever the summation order
+        theirs = known.get_indexer(block["label"])
+        s[names[:, None] == block["id"][None]] = -np.inf
+        if whole:
+            rows.append(s)
+            ids.append(block["id"])
+            labels.append(theirs)
+            continue
+        for q, row in enumerate(s):
+            before, mine = row >= top, (row < top) & (row >= bottom)
+            above[q] += before.sum()
+            hits_above[q] += (theirs[before] == of[q]).sum()
+            held[q].append((row[mine], block["id"][mine], theirs[mine]))
+    if whole:
+        every, told = np.concatenate(ids), np.concatenate(labels)
+    out: list[tuple] = []
+    for q, name in enumerate(names):
+        if whole:
+            s = np.concatenate([block[q] for block in rows])
+        else:
+            s, every, told = (np.concatenate(k) for k in zip(*held[q], strict=True))
+        at = np.flatnonzero((told == of[q]) & (s > -np.inf))
+        if not len(at):
+            continue
+        if best_only:
+            best = s[at].max()
+            equal = s == best
+            first = above[q] + (s > best).sum() + (every[equal] < every[at[s[at] == best]].min()).sum() + 1
+            out.append((name, 1 / first, 1, first))
+            continue
+        rank = above[q] + _places(s, every, at) + 1
+        out.append((name, ((hits_above[q] + np.arange(1, len(at) + 1)) / rank).sum(), len(at), rank[0]))
+    yield pd.DataFrame(out, columns=["query", "sum", "n", "first"]).astype({"query": "int64", "sum": "float64", "n": "int64", "first": "int64"})
 
 
 def query_precision(vectors: DataFrame, block: int = 1024, best_only: bool = False) -> DataFrame:
     """(query, label, ap, first) of (id, label, vector): average precision, and the rank of the first positive, of queries that have one.
 
     The gallery is all other rows, by falling cosine, ties by id. Null vectors are
-    left out; null labels are one label. ``block`` bounds a block of queries, and
-    the rows of a label that lies in one; the gallery's are four times as large.
-    ``best_only`` looks at each query's best
-    positive alone where a label fits a block: ``first`` is the same, ``ap`` has
-    no meaning.
+    left out; null labels are one label. A task has ``block`` queries at most, and
+    so few that their similarities to the gallery are ``MERGED`` at most.
+    ``best_only`` looks at each query's best positive alone: ``first`` is the
+    same, ``ap`` has no meaning.
     """
     rows = materialize(vectors.where("vector IS NOT NULL").select("id", F.coalesce(F.col("label").cast("string"), F.lit("\0")).alias("label"), "vector"), "ranked-vectors")
     total = rows.count()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    n_left, n_right = max(1, -(-total // block), min(-(-total // 64), 2 * cores)), max(1, -(-total // (4 * block)))
-    sizes = materialize(rows.groupBy(F.col("label").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of", (F.col("n") > block).alias("large")), "label-sizes")
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    gallery = rows.withColumn("block", deal("id", n_right))
-    asked = rows.join(sizes, F.col("label") == F.col("of")).drop("of")
-    small = _counted(asked.where("NOT large").drop("large").withColumn("block", deal("label", n_left)), gallery, n_left, n_right, best_only)
-    ranks = small.groupBy("query", "positive").agg(F.sum("before").alias("before"), F.sum("hits").alias("hits"))
-    found = ranks.groupBy("query").agg(F.sum((F.col("hits") + 1) / (F.col("before") + 1)).alias("sum"), F.count(F.lit(1)).alias("n"), (F.min("before") + 1).alias("first"))
-    if not sizes.where("large").isEmpty():
-        found = found.unionByName(_merged(asked.where("large").drop("large").withColumn("block", deal("id", n_left)), gallery, n_left, n_right))
+    edges = np.array([np.inf, *np.rint(_bounds(rows, total) * 1e12), -np.inf])
+    parts = len(edges) - 1
+    size = max(1, min(block, MERGED // max(1, total), max(64, -(-total // (2 * cores)))))
+    n = max(1, -(-total // size))
+    several = rows.groupBy("label").count().where("count > 1").select("label")
+    asked = rows.join(several, "label", "left_semi").withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "task": F.pmod(F.xxhash64("id"), F.lit(n)) * parts})
+    held = materialize(packed(rows), "packed-vectors")
+    task = (F.col("task") + F.col("part")).cast("int")
+    ranks = over_all(asked.select("id", "label", "vector", "part", "task"), task, n * parts, held, lambda a, b: _ranked(a, b, edges, best_only), "query long, sum double, n long, first long")
+    found = ranks.groupBy("query").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("first").alias("first"))
     told = vectors.select(F.col("id").alias("query"), "label")
     return found.select("query", (F.col("sum") / F.col("n")).alias("ap"), "first").join(told, "query").select("query", "label", "ap", "first")
 

@@ -2,24 +2,28 @@
 
 Pairs are compared by matrix products over pairs of blocks: rows are dealt into
 blocks of bounded size, each pair of blocks is one task's input, and only what a
-caller asks for (counts, best neighbours, similar pairs) leaves the task.
+caller asks for (counts, best neighbours, similar pairs) leaves the task. Where
+blocks are many they are packed into a row each, and tasks read them from a table:
+no shuffle holds a copy of a block for each block that it meets.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from fieldbook.sources.fixed import BACKBONE_FIELDS
 
-#: Rows in a block of vectors.
-BLOCK = 2048
+#: Rows in a block of vectors; in a packed one that tasks read one after the other.
+BLOCK, PACKED = 2048, 4096
 
 
 def norm(v: Column) -> Column:
@@ -130,3 +134,70 @@ def unit_matrix(rows: pd.DataFrame) -> np.ndarray:
         return np.zeros((0, 0))
     m = np.stack(rows["vector"].to_numpy()).astype(float)
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
+
+
+Block = dict[str, np.ndarray]
+
+
+def arrays(rows: pd.DataFrame, kind: str = "f8") -> Block:
+    """The columns of a block as arrays, its vectors as a matrix of numbers of this kind."""
+    made = {c: rows[c].to_numpy() for c in rows.columns if c != "vector"}
+    return made | {"vector": np.stack(rows["vector"].to_numpy()).astype(kind) if len(rows) else np.zeros((0, 0), kind)}
+
+
+def pack(block: Block) -> bytes:
+    return pickle.dumps(block, protocol=5)
+
+
+def unpack(data: pa.BinaryScalar) -> Block:
+    return pickle.loads(data.as_buffer())  # noqa: S301 - made by :func:`pack` in this job
+
+
+def number_kind(rows: DataFrame) -> str:
+    """What keeps the numbers of the column ``vector`` whole."""
+    return "f4" if rows.schema["vector"].dataType.simpleString() == "array<float>" else "f8"
+
+
+def packed(rows: DataFrame, size: int = PACKED) -> DataFrame:
+    """(data): the rows of (id, vector, ...) in blocks of ``size`` at most, a row each."""
+    kind = number_kind(rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"data": [pack(arrays(batch.iloc[k : k + size], kind)) for k in range(0, len(batch), size)]})
+
+    return rows.mapInPandas(run, "data binary")
+
+
+def over_all(asked: DataFrame, task: Column, n: int, held: DataFrame, work: Callable[[Block, Iterator[Block]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Run ``work`` on the rows of ``asked`` of each ``task`` (0 to ``n`` - 1) and on all :func:`packed` blocks of ``held``, one after the other.
+
+    Each task reads ``held`` from its table, so only ``asked`` is moved.
+    """
+    kind = number_kind(asked)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := [b for b in batches if len(b)]:
+            yield pd.DataFrame({"asked": [pack(arrays(pd.concat(parts, ignore_index=True), kind))]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+
+        def blocks() -> Iterator[Block]:
+            yield from map(unpack, first.column("data"))
+            for batch in batches:
+                yield from map(unpack, batch.column("data"))
+
+        for made in work(unpack(first.column("asked")[0]), blocks()):
+            yield pa.RecordBatch.from_pandas(made, preserve_index=False)
+
+    right = asked.repartitionById(n, task.cast("int")).mapInPandas(whole, "asked binary")
+    return held.coalesce(1).crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
+
+
+def units(block: Block) -> np.ndarray:
+    """The vectors of a block as rows of length 1."""
+    m = block["vector"].astype(float)
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)

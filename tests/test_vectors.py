@@ -133,3 +133,22 @@ def test_ranks_when_one_label_has_half_of_all_rows(spark, monkeypatch, block, me
     assert got == want
     firsts = {r["query"]: r["first"] for r in metrics.query_precision(frame, block, best_only=True).collect()}
     assert firsts == {q: f for q, (_, f) in want.items()}
+
+
+def scratch_bytes(spark):
+    from pathlib import Path
+
+    from fieldbook.session import shared_root
+
+    return sum(f.stat().st_size for f in Path(shared_root(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+
+def ranked_rows(spark, n=800):
+    """Two labels, each too large for a block of 64."""
+    return frame_of(spark, np.random.default_rng(11).normal(size=(n, 4)), label=(np.arange(n) % 2).tolist())
+
+
+def test_ranking_keeps_no_pairs(spark):
+    frame, before = ranked_rows(spark), scratch_bytes(spark)
+    assert metrics.retrieval_metrics(frame, block=64).first().n_queries == 800
+    assert scratch_bytes(spark) - before < 800 * 800
