@@ -152,3 +152,9 @@ def test_ranking_keeps_no_pairs(spark):
     frame, before = ranked_rows(spark), scratch_bytes(spark)
     assert metrics.retrieval_metrics(frame, block=64).first().n_queries == 800
     assert scratch_bytes(spark) - before < 800 * 800
+
+
+def test_first_ranks_keep_no_pairs(spark):
+    frame, before = ranked_rows(spark), scratch_bytes(spark)
+    assert metrics.cmc_all_queries(frame, (1, 800), block=64).first().cmc_800 == 1
+    assert scratch_bytes(spark) - before < 800 * 800
