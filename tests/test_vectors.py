@@ -158,3 +158,9 @@ def test_first_ranks_keep_no_pairs(spark):
     frame, before = ranked_rows(spark), scratch_bytes(spark)
     assert metrics.cmc_all_queries(frame, (1, 800), block=64).first().cmc_800 == 1
     assert scratch_bytes(spark) - before < 800 * 800
+
+
+def test_ranking_of_supported_labels_keeps_no_pairs(spark):
+    frame, before = ranked_rows(spark).withColumn("label", F.when(F.col("id") < 3, 2).otherwise(F.col("label"))), scratch_bytes(spark)
+    assert metrics.retrieval_metrics(metrics.with_support(frame, 50), block=64).first().n_queries == 797
+    assert scratch_bytes(spark) - before < 800 * 800
