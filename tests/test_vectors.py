@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldbook.operators import dedup, inference, metrics, near_blocks, similarity_index
+from fieldbook.plans import ingest
 
 
 def unit(x):
@@ -164,3 +165,12 @@ def test_ranking_of_supported_labels_keeps_no_pairs(spark):
     frame, before = ranked_rows(spark).withColumn("label", F.when(F.col("id") < 3, 2).otherwise(F.col("label"))), scratch_bytes(spark)
     assert metrics.retrieval_metrics(metrics.with_support(frame, 50), block=64).first().n_queries == 797
     assert scratch_bytes(spark) - before < 800 * 800
+
+
+@pytest.mark.parametrize("mode", ["standard"])
+def test_evaluation_keeps_no_pairs(spark, monkeypatch, mode):
+    ranked = metrics.query_precision
+    monkeypatch.setattr(metrics, "query_precision", lambda rows, _: ranked(rows, 64))
+    frame, before = ranked_rows(spark).select(F.col("id").alias("sample_id"), "label", "vector", F.lit("val").alias("split")), scratch_bytes(spark)
+    assert [r.n_queries for r in ingest.evaluate(frame, "val", 9, mode).collect()] == [800, 800]
+    assert scratch_bytes(spark) - before < 2 * 800 * 800
