@@ -167,7 +167,7 @@ def test_ranking_of_supported_labels_keeps_no_pairs(spark):
     assert scratch_bytes(spark) - before < 800 * 800
 
 
-@pytest.mark.parametrize("mode", ["standard"])
+@pytest.mark.parametrize("mode", ["standard", "random_baseline"])
 def test_evaluation_keeps_no_pairs(spark, monkeypatch, mode):
     ranked = metrics.query_precision
     monkeypatch.setattr(metrics, "query_precision", lambda rows, _: ranked(rows, 64))
