@@ -174,3 +174,23 @@ def test_evaluation_keeps_no_pairs(spark, monkeypatch, mode):
     frame, before = ranked_rows(spark).select(F.col("id").alias("sample_id"), "label", "vector", F.lit("val").alias("split")), scratch_bytes(spark)
     assert [r.n_queries for r in ingest.evaluate(frame, "val", 9, mode).collect()] == [800, 800]
     assert scratch_bytes(spark) - before < 2 * 800 * 800
+
+
+def pairs_loop(x, least):
+    """The loop over cosines as SQL has them."""
+    n = np.sqrt((x * x).sum(1)) + 1e-12
+    s, leaders, out = (x @ x.T) / np.outer(n, n), [], {}
+    for i in range(len(x)):
+        out[i] = next((j for j in leaders if s[i, j] >= least), None)
+        if out[i] is None:
+            leaders.append(i)
+    return out
+
+
+def test_leaders_on_the_threshold_and_without_direction(spark):
+    """Cosines of whole numbers that are the threshold but for the little added to lengths; zero vectors, which are like none."""
+    u = 10 ** np.arange(8)
+    x = np.concatenate([np.stack([u, 0 * u, 0 * u, 0 * u], 1), np.stack([49 * u, 9 * u, 3 * u, 3 * u], 1), np.zeros((3, 4)), np.eye(4)[[1, 1, 2]]]).astype(float)
+    got = {r.id: r.duplicate_of for r in dedup.greedy_leaders(frame_of(spark, x), 0.98).collect()}
+    assert got == pairs_loop(x, 0.98)
+    assert all(got[i] is None for i in (16, 17, 18)) and got[20] == 19
