@@ -194,3 +194,12 @@ def test_leaders_on_the_threshold_and_without_direction(spark):
     got = {r.id: r.duplicate_of for r in dedup.greedy_leaders(frame_of(spark, x), 0.98).collect()}
     assert got == pairs_loop(x, 0.98)
     assert all(got[i] is None for i in (16, 17, 18)) and got[20] == 19
+
+
+def test_near_blocks_are_not_copied(spark):
+    """Blocks meet in a product of tables, so nothing is shuffled for each pair of them."""
+    rng = np.random.default_rng(4)
+    frame = frame_of(spark, rng.normal(size=(640, 6))).withColumns({"target": F.lit(True), "source": F.lit(True)})
+    edges = near_blocks.first_edges(frame, 0.99, 1, block=10)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroups" not in plan
