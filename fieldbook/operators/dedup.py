@@ -22,6 +22,8 @@ def unmark(samples: DataFrame, tag: str = "duplicate") -> DataFrame:
 
 #: Edges among unsettled rows that one task settles row by row; earlier neighbours that a row keeps of each block near it.
 SETTLED_AT_ONCE, FIRST = 1_000_000, 16
+#: Rows that are settled first, and at most at a time.
+BATCH, LARGEST = 16_384, 262_144
 
 
 def _settle(edges: DataFrame) -> DataFrame:
@@ -109,11 +111,22 @@ def _first_leaders(ids: DataFrame, leaders: DataFrame, least: float, places: int
     return edges.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "similarity")).alias("best")).select("id", F.col("best.a").alias("leader"), "best.similarity")
 
 
+def _bounds(ids: DataFrame) -> list[int]:
+    """The last ids of all batches but the last: each has as many rows, about, as those before it, ``BATCH`` at least and ``LARGEST`` at most."""
+    n, ends, size = ids.count(), [], BATCH
+    while sum(ends[-1:]) + size < n:
+        ends.append(sum(ends[-1:]) + size)
+        size = min(LARGEST, max(BATCH, ends[-1]))
+    return sorted(set(ids.agg(F.percentile_approx("id", [e / n for e in ends], 100_000)).first()[0])) if ends else []
+
+
 def greedy_leaders(vectors: DataFrame, least: float, first: int = FIRST, places: int | None = None) -> DataFrame:
     """(id, is_duplicate, duplicate_of, duplicate_similarity) for (id, vector), going through the rows by id.
 
     A row is a leader unless an earlier leader is similar; it then is a duplicate
-    of the first such leader.
+    of the first such leader. Batches of rows, each as large as all before, are
+    held against the earlier leaders, and what none of these leads is settled among
+    itself: where leaders are few, no more than rows times leaders is compared.
     Equal vectors are settled once, as their first row, unless they are not similar
     to themselves, as zero vectors are. Null vectors are left out before positions
     are taken. Similarities are rounded to ``places``, if that is given.
@@ -125,7 +138,19 @@ def greedy_leaders(vectors: DataFrame, least: float, first: int = FIRST, places:
     equal = materialize(rows.groupBy("vector", "alone").agg(F.min("id").alias("first")), "equal-vectors")
     members = rows.join(equal.select(F.col("vector").alias("same"), F.col("alone").alias("other"), "first"), (F.col("vector") == F.col("same")) & F.col("alone").eqNullSafe(F.col("other"))).select("id", "first")
     ids = equal.select(F.col("first").alias("id"), "vector")
-    every = _led(ids, least, first, places)
+    bounds, leaders, led = _bounds(ids), None, []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        batch = ids.where(F.lit(True) if low is None else F.col("id") > low).where(F.lit(True) if high is None else F.col("id") <= high)
+        if leaders is not None:
+            led.append(materialize(_first_leaders(batch, leaders, least, places), "led"))
+            batch = materialize(batch.join(led[-1].select("id"), "id", "left_anti"), "batch")
+        led.append(_led(batch, least, first, places))
+        if high is not None:
+            more = materialize(batch.join(led[-1].select("id"), "id", "left_anti"), "leaders")
+            leaders = more if leaders is None else leaders.unionByName(more)
+    every = led[0]
+    for part in led[1:]:
+        every = every.unionByName(part)
     out = members.join(every.withColumnsRenamed({"id": "of", "similarity": "s"}), F.col("first") == F.col("of"), "left")
     duplicate = F.col("leader").isNotNull() | (F.col("id") != F.col("first"))
     return out.select("id", duplicate.alias("is_duplicate"), F.when(duplicate, F.coalesce("leader", "first")).alias("duplicate_of"), F.when(duplicate, F.coalesce("s", F.lit(1.0))).alias("duplicate_similarity"))

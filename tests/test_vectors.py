@@ -203,3 +203,14 @@ def test_near_blocks_are_not_copied(spark):
     edges = near_blocks.first_edges(frame, 0.99, 1, block=10)
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "FlatMapGroups" not in plan
+
+
+def test_batches_are_held_against_leaders(spark, monkeypatch):
+    """Rows in batches give what the loop gives, and of a hundred rows about each of three centres few edges are kept."""
+    monkeypatch.setattr(dedup, "BATCH", 40)
+    x, kept = clusters(np.random.default_rng(6), 300, 3, 0.05), []
+    write = dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda frame, name, *more: kept.append((name, made := write(frame, name, *more))) or made)
+    got = {r.id: r.duplicate_of for r in dedup.greedy_leaders(frame_of(spark, x), 0.9).collect()}
+    assert got == loop(x, 0.9)
+    assert sum(made.count() for name, made in kept if name == "edges") < 300 * 10
